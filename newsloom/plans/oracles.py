@@ -1,0 +1,3 @@
+"""DuckDB SQL of the core's queries."""
+
+SQL: dict[str, str] = {}

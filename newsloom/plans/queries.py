@@ -1,0 +1,25 @@
+"""The core's queries: name -> callable (spark, data directory) -> DataFrame."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsloom.operators.instants import utc_instants
+from newsloom.tables import table
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """tbl, row_id, field, utc_us: every value of the time columns that denotes one instant."""
+    sources = table(spark, root, "platforms").select("id", "tz", "day_first").unionByName(table(spark, root, "rss_feeds").select("id", "tz", "day_first"))
+    items = utc_instants(table(spark, root, "scored_items"), "item_id", ["first_time", "last_time", "published_at"], sources, "source_id", "crawl_date")
+    entries = utc_instants(table(spark, root, "feed_entries"), "entry_id", ["published"], sources, "source")
+    return items.select(F.lit("scored_items").alias("tbl"), "*").unionByName(entries.select(F.lit("feed_entries").alias("tbl"), "*"))
+
+
+QUERIES = {"p5_found": p5_found}
+
+
+def flagship(spark: SparkSession, root: str) -> DataFrame:
+    """The query that __spark_entry__.entry runs."""
+    return p5_found(spark, root)
