@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 ITEM_TABLES = ("platforms", "rss_feeds", "news_items", "scored_items", "trend_events", "feed_entries", "cluster_members", "documents")
@@ -26,3 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(conf)
     return conf
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows by way of a written table in the shared folder: computed once, and readable if executors are lost."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
