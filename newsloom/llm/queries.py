@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.llm.like_titles import like_pairs, plain_keys
 from newsloom.llm.lookalike_rows import odd_rows
 from newsloom.tables import table
 
@@ -21,6 +22,13 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-QUERIES = {"p4_found": p4_found}
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """tbl, id_a, id_b: like titles within scored_items and within news_items."""
+    tables = {t: table(spark, root, t).select(F.lit(t).alias("tbl"), F.col(TITLES[t]).alias("id"), "title") for t in ("scored_items", "news_items")}
+    keyed = plain_keys(reduce(DataFrame.unionByName, tables.values()))
+    return like_pairs(keyed, max(t.count() for t in tables.values()))
+
+
+QUERIES = {"p4_found": p4_found, "p7_found": p7_found}
 
 SQL: dict[str, str] = {}
