@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.llm.containers import fill
 from newsloom.llm.like_titles import like_pairs, plain_keys
 from newsloom.llm.lookalike_rows import odd_rows
+from newsloom.llm.tokens import token_counts, token_ids
 from newsloom.tables import table
 
 TITLES = {"scored_items": "item_id", "news_items": "id", "feed_entries": "entry_id"}
@@ -29,6 +31,16 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return like_pairs(keyed, max(t.count() for t in tables.values()))
 
 
-QUERIES = {"p4_found": p4_found, "p7_found": p7_found}
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    """doc_id, ids: the tokens of every document."""
+    return token_ids(table(spark, root, "documents"), "doc_id", "text")
+
+
+def p9_containers(spark: SparkSession, root: str) -> DataFrame:
+    """container, doc_id, part, start, size: the documents in containers of 2,048 tokens."""
+    return fill(token_counts(table(spark, root, "documents"), "doc_id", "text"), "doc_id", "n")
+
+
+QUERIES = {"p4_found": p4_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 SQL: dict[str, str] = {}
