@@ -11,11 +11,38 @@ from newsloom.llm.containers import fill
 from newsloom.llm.like_titles import like_pairs, plain_keys
 from newsloom.llm.lookalike_rows import odd_rows
 from newsloom.llm.tokens import token_counts, token_ids
+from newsloom.llm.top_n import latest, top_n
 from newsloom.tables import table
 
 TITLES = {"scored_items": "item_id", "news_items": "id", "feed_entries": "entry_id"}
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """scope, group_key, pos, row_id: the 5 best items of every source and the 50 best events of every category."""
+    items = latest(table(spark, root, "scored_items"), "item_id", "source_id", "score", "ingested_at")
+    events = latest(table(spark, root, "trend_events"), "event_id", "category", "score", "last_seen_at")
+    scopes = {"source": top_n(items, 5), "category": top_n(events, 50)}
+    return reduce(DataFrame.unionByName, (df.select(F.lit(s).alias("scope"), "*") for s, df in scopes.items()))
+
+
+P1_SQL = """
+WITH items AS (
+  SELECT item_id AS row_id, source_id AS group_key, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ingested_at DESC NULLS LAST, (score IS NOT NULL AND NOT isnan(score)) DESC, score DESC NULLS LAST, source_id DESC NULLS LAST) AS k FROM scored_items) WHERE k = 1
+), events_ AS (
+  SELECT event_id AS row_id, category AS group_key, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY last_seen_at DESC NULLS LAST, (score IS NOT NULL AND NOT isnan(score)) DESC, score DESC NULLS LAST, category DESC NULLS LAST) AS k FROM trend_events) WHERE k = 1
+), ranked AS (
+  SELECT 'source' AS scope, group_key, row_number() OVER (PARTITION BY group_key ORDER BY score DESC, row_id) AS pos, row_id, 5 AS n FROM items
+  WHERE group_key IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)
+  UNION ALL
+  SELECT 'category', group_key, row_number() OVER (PARTITION BY group_key ORDER BY score DESC, row_id), row_id, 50 FROM events_
+  WHERE group_key IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)
+)
+SELECT scope, group_key, CAST(pos AS INTEGER) AS pos, row_id FROM ranked WHERE pos <= n
+"""
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """tbl, row_id: titles with look-alike or invisible characters."""
     return reduce(
@@ -41,6 +68,6 @@ def p9_containers(spark: SparkSession, root: str) -> DataFrame:
     return fill(token_counts(table(spark, root, "documents"), "doc_id", "text"), "doc_id", "n")
 
 
-QUERIES = {"p4_found": p4_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p1_found": P1_SQL}
