@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.containers import fill
 from newsloom.llm.like_titles import like_pairs, plain_keys
 from newsloom.llm.lookalike_rows import odd_rows
+from newsloom.llm.survivors import records, survivors
 from newsloom.llm.tokens import token_counts, token_ids
 from newsloom.llm.top_n import latest, top_n
 from newsloom.tables import table
@@ -43,6 +44,39 @@ SELECT scope, group_key, CAST(pos AS INTEGER) AS pos, row_id FROM ranked WHERE p
 """
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """cluster_id and the member that gives each field of the surviving record."""
+    return survivors(table(spark, root, "cluster_members"))
+
+
+def p2_records(spark: SparkSession, root: str) -> DataFrame:
+    """cluster_id and the surviving record itself."""
+    return records(table(spark, root, "cluster_members"))
+
+
+_P2_MEMBERS = r"""
+WITH m AS (SELECT DISTINCT * FROM cluster_members),
+u AS (
+  SELECT cluster_id, member_id, coalesce(trust, 0) AS trust, fetched_at, title, url, summary, published_at,
+    coalesce(length(regexp_replace(title, '[^\p{L}\p{Nd}]', '', 'g')) >= 5, false) AS t_ok,
+    coalesce(regexp_matches(trim(url), '(?i)^https?://[^/?#:@\s]*[\p{L}\p{Nd}][^/?#:@\s]*(:\d*)?([/?#].*)?$'), false) AS u_ok,
+    coalesce(length(regexp_replace(summary, '[^\p{L}\p{Nd}]', '', 'g')) >= 10, false) AS s_ok,
+    length(regexp_replace(summary, '^[\s\x{3000}\x{a0}]+|[\s\x{3000}\x{a0}]+$', '', 'g')) AS s_len,
+    coalesce(regexp_matches(trim(published_at), '^\d{4}-\d\d-\d\d[T ]\d\d:\d\d') AND epoch_us(TRY_CAST(trim(published_at) AS TIMESTAMPTZ)) BETWEEN 946684800000000 AND epoch_us(fetched_at), false) AS p_ok
+  FROM m WHERE cluster_id IS NOT NULL AND member_id IS NOT NULL),
+g AS (SELECT cluster_id FROM u GROUP BY 1 HAVING count(DISTINCT member_id) > 1),
+t AS (SELECT cluster_id, member_id, title FROM u WHERE t_ok QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY trust DESC, fetched_at DESC, member_id) = 1),
+w AS (SELECT cluster_id, member_id, url FROM u WHERE u_ok QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY trust DESC, fetched_at DESC, member_id) = 1),
+s AS (SELECT cluster_id, member_id, summary FROM u WHERE s_ok QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY s_len DESC, trust DESC, fetched_at DESC, member_id) = 1),
+p AS (SELECT cluster_id, member_id, published_at FROM u WHERE p_ok QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY fetched_at DESC, trust DESC, member_id) = 1)
+"""
+_P2_JOIN = "FROM g LEFT JOIN t USING (cluster_id) LEFT JOIN w USING (cluster_id) LEFT JOIN s USING (cluster_id) LEFT JOIN p USING (cluster_id)"
+P2_SQL = f"""{_P2_MEMBERS}
+SELECT cluster_id, coalesce(t.member_id, 0) AS title_member, coalesce(w.member_id, 0) AS url_member, coalesce(s.member_id, 0) AS summary_member, coalesce(p.member_id, 0) AS published_member {_P2_JOIN}
+"""
+P2_RECORDS_SQL = f"{_P2_MEMBERS} SELECT cluster_id, title, url, summary, published_at {_P2_JOIN}"
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """tbl, row_id: titles with look-alike or invisible characters."""
     return reduce(
@@ -68,6 +102,6 @@ def p9_containers(spark: SparkSession, root: str) -> DataFrame:
     return fill(token_counts(table(spark, root, "documents"), "doc_id", "text"), "doc_id", "n")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
-SQL: dict[str, str] = {"p1_found": P1_SQL}
+SQL: dict[str, str] = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_records": P2_RECORDS_SQL}
