@@ -65,13 +65,16 @@ def minhash(g: Grams, n: int) -> np.ndarray:
     return out
 
 
-def odd_sketch(g: Grams) -> np.ndarray:
-    """Parity bitmap of 64 bits of each text's grams.
+def odd_sketch(g: Grams) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmap of 128 bits of each text's grams, as two halves; their XOR is the bitmap of 64 bits.
 
     The bitmaps of two texts differ in at most as many bits as their sets differ in grams, for a gram that both have
     flips the same bit in both. So the number of differing bits is a lower bound of the sets' difference.
     """
-    return np.bitwise_xor.reduceat(np.uint64(1) << (mix(g.hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(58)), g.starts)
+    h = mix(g.hashes ^ np.uint64(0x5851F42D4C957F2D))
+    bit, high = np.uint64(1) << (h >> np.uint64(58)), (h & np.uint64(1)).astype(bool)
+    zero = np.uint64(0)
+    return np.bitwise_xor.reduceat(np.where(high, zero, bit), g.starts), np.bitwise_xor.reduceat(np.where(high, bit, zero), g.starts)
 
 
 def band_keys(values: np.ndarray, rows: int) -> np.ndarray:

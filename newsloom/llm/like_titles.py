@@ -63,18 +63,24 @@ def plain_keys(df: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 _ENTRY = np.dtype([("key", "<u4"), ("odd", "<u8"), ("n", "<u2")])
+#: Titles with more grams than this carry the sketch of 128 bits, for 64 fill up.
+LONG = 36
 
 
-def _pack(ids: np.ndarray, entries: np.ndarray) -> bytes:
-    """Entries in order of ids; ids as differences, byte plane by byte plane, for they compress."""
+def _pack(ids: np.ndarray, entries: np.ndarray, high: np.ndarray) -> bytes:
+    """Entries in order of ids; ids as differences, byte plane by byte plane, for they compress; the sketches' second
+    halves of long titles."""
     steps = np.diff(ids, prepend=ids[:1]).astype("<u8")
-    return b"".join([np.array([len(ids), ids[0]], "<i8").tobytes(), steps.view("u1").reshape(-1, 8).T.tobytes(), entries.tobytes()])
+    return b"".join([np.array([len(ids), ids[0]], "<i8").tobytes(), steps.view("u1").reshape(-1, 8).T.tobytes(), entries.tobytes(), high[entries["n"] > LONG].tobytes()])
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, first = np.frombuffer(blob, "<i8", 2)
     steps = np.frombuffer(blob, "u1", 8 * n, 16).reshape(8, n).T.copy().view("<u8").ravel()
-    return first + np.cumsum(steps).astype("int64"), np.frombuffer(blob, _ENTRY, n, 16 + 8 * n)
+    entries = np.frombuffer(blob, _ENTRY, n, 16 + 8 * n)
+    high = np.zeros(n, "<u8")
+    high[entries["n"] > LONG] = np.frombuffer(blob, "<u8", -1, 16 + (8 + _ENTRY.itemsize) * n)
+    return first + np.cumsum(steps).astype("int64"), entries, high
 
 
 def band_entries(keyed: DataFrame, rows: int, bands: int, ranges: int) -> DataFrame:
@@ -90,7 +96,8 @@ def band_entries(keyed: DataFrame, rows: int, bands: int, ranges: int) -> DataFr
                 g = grams_of(b.column(2).take(pa.array(at)).to_pylist())
                 keys = band_keys(minhash(g, rows * bands), rows)
                 rest = np.zeros(len(ids), _ENTRY)
-                rest["odd"], rest["n"] = odd_sketch(g), np.minimum(g.counts, 65535)
+                low, high = odd_sketch(g)
+                rest["odd"], rest["n"] = low ^ high, np.minimum(g.counts, 65535)
                 shards, blobs = [], []
                 for band, k in enumerate(keys):
                     rest["key"] = k
@@ -98,7 +105,7 @@ def band_entries(keyed: DataFrame, rows: int, bands: int, ranges: int) -> DataFr
                     for r in range(ranges):
                         if (own := part == r).any():
                             shards.append(band * ranges + r)
-                            blobs.append(_pack(ids[own], rest[own]))
+                            blobs.append(_pack(ids[own], rest[own], high[own]))
                 yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([t] * len(shards)), pa.array(blobs, pa.binary())], ["shard", "tbl", "blob"])
 
     return keyed.mapInArrow(entries, "shard int, tbl string, blob binary")
@@ -107,16 +114,16 @@ def band_entries(keyed: DataFrame, rows: int, bands: int, ranges: int) -> DataFr
 def candidates(blobs: list[bytes], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(smaller id, larger id, whether of one class) of the pairs of a shard that the sketches let pass."""
     parts = [_unpack(b) for b in blobs]
-    ids, e = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.lexsort((ids, e["n"], e["odd"], e["key"]))
-    ids, key, odd, n = ids[order], e["key"][order], e["odd"][order], e["n"][order].astype("int64")
+    ids, e, high = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    order = np.lexsort((ids, high, e["n"], e["odd"], e["key"]))
+    ids, key, odd, n, high = ids[order], e["key"][order], e["odd"][order], e["n"][order].astype("int64"), high[order]
     same = np.zeros(len(ids), bool)
-    same[1:] = (key[1:] == key[:-1]) & (odd[1:] == odd[:-1]) & (n[1:] == n[:-1])
+    same[1:] = (key[1:] == key[:-1]) & (odd[1:] == odd[:-1]) & (n[1:] == n[:-1]) & (high[1:] == high[:-1])
     first = np.flatnonzero(~same)
     own = np.repeat(first, np.diff(np.append(first, len(ids))))
     if same.any():
         yield ids[own[same]], ids[same], np.ones(int(same.sum()), bool)
-    ids, key, odd, n = ids[first], key[first], odd[first], n[first]
+    ids, key, odd, n, high = ids[first], key[first], odd[first], n[first], high[first]
     left, step = np.arange(len(ids)), 1
     while len(left := left[left + step < len(ids)]) and len(left := left[key[left + step] == key[left]]):
         for lo in range(0, len(left), CHUNK):
@@ -124,8 +131,12 @@ def candidates(blobs: list[bytes], threshold: float) -> Iterator[tuple[np.ndarra
             b = a + step
             both = n[a] + n[b]
             # similarity t of sets means that they differ in at most (1 - t) / (1 + t) of their sizes' sum
-            fits = np.bitwise_count(odd[a] ^ odd[b]) <= both * ((1 - threshold) / (1 + threshold)) + 1e-9
-            fits &= np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9
+            most = both * ((1 - threshold) / (1 + threshold)) + 1e-9
+            fits = (np.bitwise_count(odd[a] ^ odd[b]) <= most) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9)
+            if (at := np.flatnonzero(fits & (n[a] > LONG) & (n[b] > LONG))).size:
+                x, y = a[at], b[at]
+                one = odd[x] ^ high[x] ^ odd[y] ^ high[y]  # the first halves' difference
+                fits[at] = np.bitwise_count(one) + np.bitwise_count(high[x] ^ high[y]) <= most[at]
             if fits.any():
                 x, y = ids[a[fits]], ids[b[fits]]
                 yield np.minimum(x, y), np.maximum(x, y), np.zeros(len(x), bool)
