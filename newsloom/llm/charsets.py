@@ -57,8 +57,8 @@ def _utf8_read_as(codec: str, letters: bool = False):
                     break
             if now == m[0] or not _PLAUSIBLE.fullmatch(now) or _CONTROLS.search(now):
                 return m[0]
-            # two letters of a script of its own make a sequence by chance; what comes out must be an accent or CJK
-            return now if not letters or any(c in _ACCENTED or c >= "‐" for c in now) else m[0]
+            # two letters of a script of its own make a sequence by chance; an accent, CJK or a longer run doesn't
+            return now if not letters or len(now) > 3 or any(c in _ACCENTED or c >= "‐" for c in now) else m[0]
 
         return runs.sub(run, text)
 

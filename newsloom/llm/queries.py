@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.containers import fill
+from newsloom.llm.garbled import restored
 from newsloom.llm.like_titles import like_pairs, plain_keys
 from newsloom.llm.lookalike_rows import odd_rows
 from newsloom.llm.survivors import records, survivors
@@ -85,6 +86,13 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """entry_id, field, restored_md5: garbled titles and summaries, '' where the original is lost."""
+    found = restored(table(spark, root, "feed_entries"), "entry_id", ["title", "summary"])
+    md5 = F.when(F.col("restored") == "", F.lit("")).otherwise(F.md5("restored"))
+    return found.select(F.col("row_id").alias("entry_id"), "field", md5.alias("restored_md5"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """tbl, id_a, id_b: like titles within scored_items and within news_items."""
     tables = {t: table(spark, root, t).select(F.lit(t).alias("tbl"), F.col(TITLES[t]).alias("id"), "title") for t in ("scored_items", "news_items")}
@@ -102,6 +110,6 @@ def p9_containers(spark: SparkSession, root: str) -> DataFrame:
     return fill(token_counts(table(spark, root, "documents"), "doc_id", "text"), "doc_id", "n")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 SQL: dict[str, str] = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_records": P2_RECORDS_SQL}
