@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +10,13 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.containers import fill
 from newsloom.llm.garbled import restored
+from newsloom.llm.history import History
 from newsloom.llm.like_titles import like_pairs, plain_keys
 from newsloom.llm.lookalike_rows import odd_rows
 from newsloom.llm.survivors import records, survivors
 from newsloom.llm.tokens import token_counts, token_ids
 from newsloom.llm.top_n import latest, top_n
-from newsloom.tables import table
+from newsloom.tables import shared_dir, table
 
 TITLES = {"scored_items": "item_id", "news_items": "id", "feed_entries": "entry_id"}
 
@@ -78,6 +80,13 @@ SELECT cluster_id, coalesce(t.member_id, 0) AS title_member, coalesce(w.member_i
 P2_RECORDS_SQL = f"{_P2_MEMBERS} SELECT cluster_id, title, url, summary, published_at {_P2_JOIN}"
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """first_id, entry_id: entries that repeat an accepted one, the whole table taken as one batch of a new history."""
+    history = History(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}")
+    entries = table(spark, root, "feed_entries").select(F.col("entry_id").alias("id"), "title", "url")
+    return history.accept(entries, keep=False)
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """tbl, row_id: titles with look-alike or invisible characters."""
     return reduce(
@@ -110,6 +119,6 @@ def p9_containers(spark: SparkSession, root: str) -> DataFrame:
     return fill(token_counts(table(spark, root, "documents"), "doc_id", "text"), "doc_id", "n")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 
 SQL: dict[str, str] = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_records": P2_RECORDS_SQL}
