@@ -13,6 +13,7 @@ from newsloom.llm.garbled import restored
 from newsloom.llm.history import History
 from newsloom.llm.like_titles import like_pairs, plain_keys
 from newsloom.llm.lookalike_rows import odd_rows
+from newsloom.llm.pii import entities, masked
 from newsloom.llm.survivors import records, survivors
 from newsloom.llm.tokens import token_counts, token_ids
 from newsloom.llm.top_n import latest, top_n
@@ -119,6 +120,28 @@ def p9_containers(spark: SparkSession, root: str) -> DataFrame:
     return fill(token_counts(table(spark, root, "documents"), "doc_id", "text"), "doc_id", "n")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """doc_id, kind, start_pos: personal information in the documents."""
+    return entities(table(spark, root, "documents")).select("doc_id", "kind", F.col("start").alias("start_pos"))
+
+
+def p10_masked(spark: SparkSession, root: str) -> DataFrame:
+    """doc_id, text: the documents with placeholders for personal information."""
+    return masked(table(spark, root, "documents"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_records": p2_records,
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p8_ids": p8_ids,
+    "p9_containers": p9_containers,
+    "p10_found": p10_found,
+    "p10_masked": p10_masked,
+}
 
 SQL: dict[str, str] = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_records": P2_RECORDS_SQL}
