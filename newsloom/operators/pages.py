@@ -13,7 +13,7 @@ _ANCHOR = r'(?s)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
 def links(pages: DataFrame, id_col: str, html: str, min_chars: int = 6) -> DataFrame:
     """id, pos, url, title of a page's anchors with a title long enough and readable, script links aside."""
     pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(_ANCHOR), 1).alias("url"), F.regexp_extract_all(html, F.lit(_ANCHOR), 2).alias("title"))
-    rows = pages.select(id_col, F.posexplode(pairs).alias("pos", "_a")).select(id_col, "pos", F.col("_a")["0"].alias("url"), clean_text(F.col("_a")["1"]).alias("title"))
+    rows = pages.select(id_col, F.posexplode(pairs).alias("pos", "_a")).select(id_col, "pos", F.col("_a")["url"].alias("url"), clean_text(F.col("_a")["title"]).alias("title"))
     return rows.filter((F.length("title") >= min_chars) & ~looks_mojibake(F.col("title")) & ~F.col("url").startswith("javascript"))
 
 
