@@ -45,14 +45,17 @@ _CHINESE_ADDRESS = re.compile(_AREA + r"\d{1,5}号(?:\d{1,4}(?:栋|幢|号楼|
 _ROAD = r"(?:Road|Rd\.?|Street|St\.?|Avenue|Ave\.?|Lane|Ln\.?|Court|Ct\.?|Drive|Boulevard|Blvd\.?|Way|Place|Square|Terrace|Crescent)(?![A-Za-z])"
 _ENGLISH_ADDRESS = re.compile(rf"(?<![0-9A-Za-z.,\-/])\d{{1,5}}[A-Za-z]? (?:[A-Z][\w'’\-]* ){{1,3}}{_ROAD}(?:,? (?:Apt|Suite|Unit|Flat)\.? \d+[A-Z]?)?(?:, [A-Z][a-z]+)?")
 _GERMAN_ADDRESS = re.compile(r"(?<![\w\-])[A-ZÄÖÜ][\wäöüß]*(?:straße|strasse|str\.|gasse|platz|allee|weg|ring|damm|ufer|-(?:Weg|Straße|Allee|Platz|Ring|Gasse|Damm|Ufer)) \d{1,4}[a-z]?(?![\w])(?:, \d{5} [A-ZÄÖÜ][\wäöüß]+)?")
+_ROADS = re.compile(" " + _ROAD)
+_STREETS = re.compile(r"(?:straße|strasse|str\.|gasse|platz|allee|weg|ring|damm|ufer|-(?:Weg|Straße|Allee|Platz|Ring|Gasse|Damm|Ufer)) \d")
 _CAPITAL = re.compile(r"(?<![\w@.\-])[A-ZÄÖÜÀ-Ý](?:[\w’']+(?:-[A-ZÄÖÜ][\w’']+)*|\.)")
 _DIGIT = re.compile("[0-9]")
+_IDEOGRAPH, _LATIN_CAPITAL = re.compile("[一-鿿]"), re.compile("[A-ZÄÖÜÀ-Ý][^ ]* [A-ZÄÖÜÀ-Ý]")
 _CHINESE_NAME = re.compile(f"(?:{'|'.join(COMPOUND)}|[{SURNAMES}])(?=[一-鿿])")
 
 
 def _context(s: str) -> str:
     """A context with its digits masked."""
-    return _DIGIT.sub("0", s)
+    return s if s.isalpha() else _DIGIT.sub("0", s)
 
 
 class Candidate(NamedTuple):
@@ -105,53 +108,58 @@ def _addresses(t: str) -> Iterator[Candidate]:
         for m in _CHINESE_ADDRESS.finditer(t):
             # the first two characters of each part are its name; an early match may have taken words before it
             yield Candidate("address", *m.span(), t[max(0, m.start() - 2) : m.start()], "", "zh")
-    for pattern, token in ((_ENGLISH_ADDRESS, "en"), (_GERMAN_ADDRESS, "de")):
-        for m in pattern.finditer(t):
-            yield Candidate("address", *m.span(), "", "", token)
+    if _ROADS.search(t):
+        for m in _ENGLISH_ADDRESS.finditer(t):
+            yield Candidate("address", *m.span(), "", "", "en")
+    if _STREETS.search(t):
+        for m in _GERMAN_ADDRESS.finditer(t):
+            yield Candidate("address", *m.span(), "", "", "de")
 
 
-def _western_names(t: str) -> Iterator[Candidate]:
+def _western_names(t: str) -> Iterator[tuple]:
     words = [(m.start(), m.end(), m[0]) for m in _CAPITAL.finditer(t)]
+    size = len(t)
     for k in range(len(words) - 1):
         a, ae, first = words[k]
-        if len(first) > 2 and first.endswith("."):
+        b, end, last = words[k + 1]
+        if b != ae + 1 or t[ae] != " " or (first[-1] == "." and ae - a > 2):
             continue
-        j = k + 1
-        if words[j][0] != ae + 1 or t[ae] != " ":
-            continue
-        if words[j][2].endswith(".") and len(words[j][2]) == 2 and j + 1 < len(words) and words[j + 1][0] == words[j][1] + 1:
-            j += 1
-        last = words[j][2]
-        if last.endswith("."):
-            continue
-        end = words[j][1]
-        before, after = t[max(0, a - 24) : a].split(), t[end : end + 24].split()
-        left = before[-1] if before and t[a - 1] == " " else "^"
-        right = after[0] if after and t[end : end + 1] == " " else t[end : end + 1] or "$"
-        start = words[j][0] if first.casefold().rstrip(".:") in TITLES else a
-        yield Candidate("name", start, end, "L " + _context(left), "R " + _context(right), last.casefold())
-
-
-def _chinese_names(t: str) -> Iterator[Candidate]:
+        if last[-1] == ".":
+            # an initial between the names
+            if end - b != 2 or k + 2 == len(words) or words[k + 2][0] != end + 1:
+                continue
+            b, end, last = words[k + 2]
+            if last[-1] == ".":
+                continue
+        left, right = "^", t[end : end + 1] or "$"
+        if a and t[a - 1] == " ":
+            left = t[max(t.rfind(" ", 0, a - 1), t.rfind("\n", 0, a - 1)) + 1 : a - 1]
+        if right == " ":
+            to = t.find(" ", end + 1, end + 24)
+            right = t[end + 1 : to if to >= 0 else min(size, end + 24)]
+        start = b if first.casefold().rstrip(".:") in TITLES else a
+        yield "name", start, end, "L " + _context(left), "R " + _context(right), last.casefold()
+
+
+def _chinese_names(t: str) -> Iterator[tuple]:
     for m in _CHINESE_NAME.finditer(t):
         a, b = m.span()
         left = _context(t[max(0, a - 3) : a])
         one, two = t[b + 1 : b + 4], t[b + 2 : b + 5]
         if "一" <= t[b + 1 : b + 2] <= "鿿":
-            yield Candidate("name", a, b + 2, "l" + left, "r" + _context(two), m[0])
-        yield Candidate("name", a, b + 1, "l" + left, "r" + _context(one), m[0])
-
-
-def scan(text: str) -> Iterator[Candidate]:
-    """All candidates of a text; positions from 0."""
-    t = text.translate(_SAME) if _OTHER.search(text) else text
-    taken: list[tuple[int, int]] = []
-    if _MAYBE_EMAIL.search(t):
-        for m in _EMAIL.finditer(t):
-            taken.append(m.span())
-            yield Candidate("email", *m.span(), "", "", "")
-    chinese = not t.isascii() and re.search("[一-鿿]", t)
-    found = list(_numbers(t)) + list(_addresses(t)) + list(_western_names(t)) + (list(_chinese_names(t)) if chinese else [])
-    for c in found:
-        if not any(a < c.end and c.start < b for a, b in taken):
-            yield c
+            yield "name", a, b + 2, "l" + left, "r" + _context(two), m[0]
+        yield "name", a, b + 1, "l" + left, "r" + _context(one), m[0]
+
+
+def scan(text: str) -> list[tuple]:
+    """All candidates of a text, as the fields of Candidate; positions from 0."""
+    t = _OTHER.sub(lambda m: chr(_SAME[ord(m[0])]), text)
+    out: list[tuple] = [*_numbers(t), *_addresses(t)]
+    if _LATIN_CAPITAL.search(t):
+        out += _western_names(t)
+    if not t.isascii() and _IDEOGRAPH.search(t):
+        out += _chinese_names(t)
+    if _MAYBE_EMAIL.search(t) and (mails := [m.span() for m in _EMAIL.finditer(t)]):
+        out = [c for c in out if not any(a < c[2] and c[1] < b for a, b in mails)]
+        out += [("email", a, b, "", "", "") for a, b in mails]
+    return out
