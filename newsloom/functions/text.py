@@ -27,12 +27,16 @@ def clean_text(c: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(out, "<[^>]+>", ""), f"[{SPACE}]+", " "))
 
 
-@F.pandas_udf("string")
-def html_unescape(texts):  # type: ignore[no-untyped-def]
+def html_unescape(c: Column) -> Column:
     """All named and numeric character references resolved, in Arrow batches."""
-    import html
 
-    return texts.map(lambda t: None if t is None else html.unescape(t))
+    @F.pandas_udf("string")
+    def unescape(texts):  # type: ignore[no-untyped-def]
+        import html
+
+        return texts.map(lambda t: None if t is None else html.unescape(t))
+
+    return unescape(c)
 
 
 def html_escape(c: Column) -> Column:

@@ -172,7 +172,7 @@ def event_categories(spark: SparkSession, root: str) -> DataFrame:
 
 
 def event_trends(spark: SparkSession, root: str) -> DataFrame:
-    return events.trend(event_items(spark, root))
+    return events.trend(event_items(spark, root)).withColumn("prev_date", F.col("prev_date").cast("string"))
 
 
 def representative_items(spark: SparkSession, root: str) -> DataFrame:
