@@ -14,6 +14,7 @@ gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from math import ceil
 
@@ -139,8 +140,56 @@ def _tail(items: list[int], capacity: int, nodes: int) -> list[list[int]]:
     return best
 
 
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Best fit decreasing over the histogram: containers that are alike are filled together."""
+    open_: dict[int, dict[tuple[tuple[int, int], ...], int]] = {}  # room left -> filling -> containers
+    rooms: list[int] = []
+
+    def add(room: int, filling: tuple[tuple[int, int], ...], n: int) -> None:
+        if n:
+            if room not in open_:
+                insort(rooms, room)
+                open_[room] = {}
+            open_[room][filling] = open_[room].get(filling, 0) + n
+
+    for s in sorted(histogram, reverse=True):
+        left = histogram[s]
+        while left:
+            at = bisect_left(rooms, s)
+            if at == len(rooms):
+                each = capacity // s
+                add(capacity - each * s, ((s, each),), left // each)
+                if rest := left % each:
+                    add(capacity - rest * s, ((s, rest),), 1)
+                break
+            room = rooms[at]
+            filling, n = open_[room].popitem()
+            if not open_[room]:
+                del open_[room], rooms[at]
+            # the tightest container takes as many as fit, before the next one gets any
+            each = room // s
+            full = min(n, left // each)
+            add(room - each * s, (*filling, (s, each)), full)
+            left -= full * each
+            if full < n and left:
+                add(room - left * s, (*filling, (s, left)), 1)
+                full, left = full + 1, 0
+            add(room, filling, n - full)
+    return [(n, dict(f)) for fillings in open_.values() for f, n in fillings.items()]
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
-    """(number of containers, their filling) for items of sizes 1 to capacity."""
+    """(number of containers, their filling) for items of sizes 1 to capacity: bin completion, unless best fit, the
+    incumbent of the whole, needs fewer containers."""
+    used = lambda p: sum(t for t, _ in p)
+    completed = complete(histogram, capacity)
+    if used(completed) * capacity - sum(s * n for s, n in histogram.items()) < capacity:
+        return completed  # no plan can have fewer
+    return min(completed, best_fit(histogram, capacity), key=used)
+
+
+def complete(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
+    """Bin completion over the histogram."""
     counts = np.zeros(capacity + 1, "int64")
     for s, n in histogram.items():
         counts[s] += n
