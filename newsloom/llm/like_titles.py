@@ -33,7 +33,7 @@ from newsloom.tables import written
 
 THRESHOLD, MIN_CHARS = 0.6, 8
 #: Bands are so many that a pair this little over the threshold is missed with this probability.
-MARGIN, MISS = 0.06, 0.02
+MARGIN, MISS = 0.06, 0.005
 #: Pairs compared at once in a shard.
 CHUNK = 2_000_000
 
