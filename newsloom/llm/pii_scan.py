@@ -11,6 +11,8 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+from newsloom.llm.lookalikes import SPACES
+
 #: Frequent Chinese surnames, of one and of two characters.
 SURNAMES = "王李张刘陈杨黄赵周吴徐孙朱马胡郭林何高梁郑罗宋谢唐韩曹许邓萧冯曾程蔡彭潘袁于董余苏叶吕魏蒋田杜丁沈姜范江傅钟卢汪戴崔任陆廖姚方金邱夏谭韦贾邹石熊孟秦阎薛侯雷白龙段郝孔邵史毛常万顾赖武康贺严尹钱施牛洪龚汤陶黎温莫易樊乔文安殷颜庄章鲁倪庞邢俞翟聂齐向葛柴伍覃骆关焦柳欧祝纪尚毕耿芦左季管符辛苗詹曲靳祁路涂兰甘裴梅童翁霍游阮尤岳柯牟滕谷舒卜饶宁凌盛查单冉鲍华包屈房喻解蒲卫简时连车项闵邬吉党阳司费蒙席晏隋古强穆姬申佟卞"
 COMPOUND = ("欧阳", "上官", "司徒", "诸葛", "司马", "夏侯", "皇甫", "尉迟", "公孙", "慕容", "令狐", "东方", "南宫", "长孙", "宇文", "端木")
@@ -20,7 +22,7 @@ TITLES = frozenset("mr mrs ms miss dr prof professor sir madam herr frau doktor
 _WEIGHTS, _CHECK = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2), "10X98765432"
 
 _SAME = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F) if chr(c) not in "，：；！？"}
-_SAME |= {ord(c): ord(" ") for c in "            　"} | {ord(c): ord("-") for c in "‐‑‒–−"}
+_SAME |= {ord(c): 32 for c in SPACES | {"\u3000"}} | {c: 45 for c in (0x2010, 0x2011, 0x2012, 0x2013, 0x2212)}
 
 _OTHER = re.compile("[" + "".join(re.escape(chr(c)) for c in _SAME) + "]")
 
@@ -40,24 +42,22 @@ _PHONE = re.compile(
 _CHINESE_ID = re.compile(r"\d{6}([\- ]?)(?:19|20)\d{6}\1\d{3}[0-9Xx]")
 _SOCIAL = re.compile(r"\d{3}([\- ])\d{2}\1\d{4}")
 _INSURANCE = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}( ?)\d{2}\1\d{2}\1\d{2}\1[A-D](?![A-Za-z0-9])")
-_AREA = r"(?:[一-鿿]{2}(?:省|自治区))?(?:[一-鿿]{2}[市县州])?(?:[一-鿿]{2}(?:新区|区|镇|乡|县))?[一-鿿]{2}(?:大道|胡同|路|街|巷|弄)"
-_CHINESE_ADDRESS = re.compile(_AREA + r"\d{1,5}号(?:\d{1,4}(?:栋|幢|号楼|单元))?(?:[一-鿿]{2,4}(?:大厦|广场|小区)\d{0,3}(?:层|楼)?)?(?:\d{1,4}(?:室|层|楼))?")
+_CHINESE_STREET = re.compile(r"(?:大道|胡同|路|街|巷|弄)\d{1,5}号(?:\d{1,4}(?:栋|幢|号楼|单元))?(?:[一-鿿]{2,4}(?:大厦|广场|小区)\d{0,3}(?:层|楼)?)?(?:\d{1,4}(?:室|层|楼))?")
+#: Signs of areas around a street, inner ones first; each has a name of two characters before it.
+_AREAS = (("新区", "区", "镇", "乡", "县"), ("市", "县", "州"), ("自治区", "省"))
 _ROAD = r"(?:Road|Rd\.?|Street|St\.?|Avenue|Ave\.?|Lane|Ln\.?|Court|Ct\.?|Drive|Boulevard|Blvd\.?|Way|Place|Square|Terrace|Crescent)(?![A-Za-z])"
 _ENGLISH_ADDRESS = re.compile(rf"(?<![0-9A-Za-z.,\-/])\d{{1,5}}[A-Za-z]? (?:[A-Z][\w'’\-]* ){{1,3}}{_ROAD}(?:,? (?:Apt|Suite|Unit|Flat)\.? \d+[A-Z]?)?(?:, [A-Z][a-z]+)?")
 _GERMAN_ADDRESS = re.compile(r"(?<![\w\-])[A-ZÄÖÜ][\wäöüß]*(?:straße|strasse|str\.|gasse|platz|allee|weg|ring|damm|ufer|-(?:Weg|Straße|Allee|Platz|Ring|Gasse|Damm|Ufer)) \d{1,4}[a-z]?(?![\w])(?:, \d{5} [A-ZÄÖÜ][\wäöüß]+)?")
-_ROADS = re.compile(" " + _ROAD)
-_STREETS = re.compile(r"(?:straße|strasse|str\.|gasse|platz|allee|weg|ring|damm|ufer|-(?:Weg|Straße|Allee|Platz|Ring|Gasse|Damm|Ufer)) \d")
+#: Words without which the patterns above can't match.
+_ROADS = (" Road", " Rd", " St", " Ave", " Lane", " Ln", " Court", " Ct", " Drive", " Boulevard", " Blvd", " Way", " Place", " Square", " Terrace", " Crescent")
+_STREETS = tuple(f"{w} " for w in "straße strasse str. gasse platz allee weg ring damm ufer -Weg -Straße -Allee -Platz -Ring -Gasse -Damm -Ufer".split())
 _CAPITAL = re.compile(r"(?<![\w@.\-])[A-ZÄÖÜÀ-Ý](?:[\w’']+(?:-[A-ZÄÖÜ][\w’']+)*|\.)")
-_DIGIT = re.compile("[0-9]")
-_IDEOGRAPH, _LATIN_CAPITAL = re.compile("[一-鿿]"), re.compile("[A-ZÄÖÜÀ-Ý][^ ]* [A-ZÄÖÜÀ-Ý]")
+_DIGIT = re.compile("[1-9]")
+_TWO = re.compile("[一-鿿]{2}")
+_IDEOGRAPH = re.compile("[一-鿿]")
 _CHINESE_NAME = re.compile(f"(?:{'|'.join(COMPOUND)}|[{SURNAMES}])(?=[一-鿿])")
 
 
-def _context(s: str) -> str:
-    """A context with its digits masked."""
-    return s if s.isalpha() else _DIGIT.sub("0", s)
-
-
 class Candidate(NamedTuple):
     """kind, character positions from 1 (end excluded), left and right context, what the graph knows the instance by."""
 
@@ -75,7 +75,7 @@ def right_check(number: str) -> bool:
     return len(digits) == 18 and _CHECK[sum(int(d) * w for d, w in zip(digits, _WEIGHTS)) % 11] == digits[17].upper()
 
 
-def _numbers(t: str) -> Iterator[Candidate]:
+def _numbers(t: str, masked: str) -> Iterator[Candidate]:
     for m in _NUMBER.finditer(t):
         a, b = m.span()
         if b - a < 8:
@@ -95,28 +95,35 @@ def _numbers(t: str) -> Iterator[Candidate]:
                 if not (edge.isalnum() and edge.isascii()) and edge not in ("-", "/", ".", "#", "@"):
                     number = s[at:end]
                     token = "" if kind == "phone" else "good" if sum(map(str.isalnum, number)) < 18 or right_check(number) else "bad"
-                    yield Candidate(kind, a + at, a + end, _context(t[max(0, a + at - 4) : a + at]), "", token)
+                    yield Candidate(kind, a + at, a + end, masked[max(0, a + at - 4) : a + at], "", token)
                 at = end
             else:
                 at += 1
     for m in _INSURANCE.finditer(t):
-        yield Candidate("id", *m.span(), _context(t[max(0, m.start() - 4) : m.start()]), "", "good")
+        yield Candidate("id", *m.span(), masked[max(0, m.start() - 4) : m.start()], "", "good")
 
 
 def _addresses(t: str) -> Iterator[Candidate]:
     if "号" in t:
-        for m in _CHINESE_ADDRESS.finditer(t):
-            # the first two characters of each part are its name; an early match may have taken words before it
-            yield Candidate("address", *m.span(), t[max(0, m.start() - 2) : m.start()], "", "zh")
-    if _ROADS.search(t):
+        for m in _CHINESE_STREET.finditer(t):
+            a = m.start() - 2
+            if a < 0 or not _TWO.fullmatch(t, a, a + 2):
+                continue
+            for signs in _AREAS:
+                for sign in signs:
+                    if a >= len(sign) + 2 and t.startswith(sign, a - len(sign)) and _TWO.fullmatch(t, a - len(sign) - 2, a - len(sign)):
+                        a -= len(sign) + 2
+                        break
+            yield Candidate("address", a, m.end(), t[max(0, a - 2) : a], "", "zh")
+    if any(w in t for w in _ROADS):
         for m in _ENGLISH_ADDRESS.finditer(t):
             yield Candidate("address", *m.span(), "", "", "en")
-    if _STREETS.search(t):
+    if any(w in t for w in _STREETS):
         for m in _GERMAN_ADDRESS.finditer(t):
             yield Candidate("address", *m.span(), "", "", "de")
 
 
-def _western_names(t: str) -> Iterator[tuple]:
+def _western_names(t: str, masked: str) -> Iterator[tuple]:
     words = [(m.start(), m.end(), m[0]) for m in _CAPITAL.finditer(t)]
     size = len(t)
     for k in range(len(words) - 1):
@@ -133,32 +140,31 @@ def _western_names(t: str) -> Iterator[tuple]:
                 continue
         left, right = "^", t[end : end + 1] or "$"
         if a and t[a - 1] == " ":
-            left = t[max(t.rfind(" ", 0, a - 1), t.rfind("\n", 0, a - 1)) + 1 : a - 1]
+            left = masked[max(t.rfind(" ", 0, a - 1), t.rfind("\n", 0, a - 1)) + 1 : a - 1]
         if right == " ":
             to = t.find(" ", end + 1, end + 24)
-            right = t[end + 1 : to if to >= 0 else min(size, end + 24)]
+            right = masked[end + 1 : to if to >= 0 else min(size, end + 24)]
         start = b if first.casefold().rstrip(".:") in TITLES else a
-        yield "name", start, end, "L " + _context(left), "R " + _context(right), last.casefold()
+        yield "name", start, end, "L " + left, "R " + right, last.casefold()
 
 
-def _chinese_names(t: str) -> Iterator[tuple]:
+def _chinese_names(t: str, masked: str) -> Iterator[tuple]:
     for m in _CHINESE_NAME.finditer(t):
         a, b = m.span()
-        left = _context(t[max(0, a - 3) : a])
-        one, two = t[b + 1 : b + 4], t[b + 2 : b + 5]
+        left, token = "l" + masked[a - 3 if a > 3 else 0 : a], m[0]
         if "一" <= t[b + 1 : b + 2] <= "鿿":
-            yield "name", a, b + 2, "l" + left, "r" + _context(two), m[0]
-        yield "name", a, b + 1, "l" + left, "r" + _context(one), m[0]
+            yield "name", a, b + 2, left, "r" + masked[b + 2 : b + 5], token
+        yield "name", a, b + 1, left, "r" + masked[b + 1 : b + 4], token
 
 
 def scan(text: str) -> list[tuple]:
     """All candidates of a text, as the fields of Candidate; positions from 0."""
     t = _OTHER.sub(lambda m: chr(_SAME[ord(m[0])]), text)
-    out: list[tuple] = [*_numbers(t), *_addresses(t)]
-    if _LATIN_CAPITAL.search(t):
-        out += _western_names(t)
+    masked = _DIGIT.sub("0", t)
+    out: list[tuple] = [*_numbers(t, masked), *_addresses(t)]
+    out += _western_names(t, masked)
     if not t.isascii() and _IDEOGRAPH.search(t):
-        out += _chinese_names(t)
+        out += _chinese_names(t, masked)
     if _MAYBE_EMAIL.search(t) and (mails := [m.span() for m in _EMAIL.finditer(t)]):
         out = [c for c in out if not any(a < c[2] and c[1] < b for a, b in mails)]
         out += [("email", a, b, "", "", "") for a, b in mails]
