@@ -165,7 +165,7 @@ SELECT item_id, topic, coalesce(topic, title_key) AS key, CASE WHEN topic IS NOT
     "url_dates": "SELECT DISTINCT entry_id, CAST(try_strptime(regexp_extract(url, '/(20\\d{6})/', 1), '%Y%m%d') AS DATE) AS date, true AS known FROM feed_entries WHERE try_strptime(regexp_extract(url, '/(20\\d{6})/', 1), '%Y%m%d') IS NOT NULL AND contains(url, '.example/')",
     "escaped_titles": f"WITH {_ITEMS} SELECT item_id, {_esc('title')} AS escaped FROM items",
     "exact_events": f"WITH {_ROLL} SELECT * FROM roll",
-    "event_scores": f"WITH {_DIMS} SELECT event_key, impact, credibility, novelty, follow_up, proximity, score FROM ev",
+    "event_scores": f"WITH {_DIMS} SELECT event_key, CAST(impact AS INTEGER) AS impact, CAST(credibility AS INTEGER) AS credibility, novelty, CAST(follow_up AS INTEGER) AS follow_up, proximity, score FROM ev",
     "event_categories": f"""WITH {_ROLL},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY event_key ORDER BY score DESC, item_id) AS k FROM ei QUALIFY k <= 16),
 once AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY event_key, title_key ORDER BY k) = 1),
