@@ -160,6 +160,8 @@ SELECT entry_id, source_name, title, CASE WHEN length(summary) > 30 THEN regexp_
     "topics_and_buckets": f"""WITH {_ITEMS}, b AS (SELECT item_id, {_topic('title')} AS topic, title_key, [x FOR x IN [{', '.join(_q(t.lower()) for t in lexicon.IMPORTANT)}] IF contains(lower(title), x)] AS hits, {_domains('title')} AS doms FROM items)
 SELECT item_id, topic, coalesce(topic, title_key) AS key, CASE WHEN topic IS NOT NULL THEN 'topic:' || topic WHEN len(hits) > 0 THEN 'term:' || hits[1] WHEN len(doms) > 0 THEN 'domain:' || list_min(doms) ELSE 'domain:general' END AS bucket FROM b""",
     "item_scores": f"WITH {_ITEMS} SELECT item_id, score, round({_SHOWN}, 3) AS shown, round({_rank('best_rank', '68.0')} + {lexicon.DEFAULT_WEIGHT} + least(28.0, ln(1 + count) * 8), 4) AS digest_score FROM items",
+    "candidate_items": f"""WITH {_ITEMS} SELECT item_id, score FROM items WHERE NOT (({_digest('title')} AND {_important('title')} < 20) OR ({_water('title')} >= 14 AND {_important('title')} < 8))
+  AND (score >= 30 OR (coalesce(best_rank <= 12, false) AND {_water('title')} < 10) OR {_important('title')} >= 8)""",
     "crawl_times": f"WITH {_ITEMS} SELECT item_id, first_at, last_at FROM items",
     "mojibake_entries": f"SELECT DISTINCT entry_id FROM feed_entries WHERE len(regexp_extract_all(coalesce(title, ''), '[{lexicon.MOJIBAKE_SIGNS}]')) >= 4 OR len(regexp_extract_all(coalesce(summary, ''), '[{lexicon.MOJIBAKE_SIGNS}]')) >= 4",
     "url_dates": "SELECT DISTINCT entry_id, CAST(try_strptime(regexp_extract(url, '/(20\\d{6})/', 1), '%Y%m%d') AS DATE) AS date, true AS known FROM feed_entries WHERE try_strptime(regexp_extract(url, '/(20\\d{6})/', 1), '%Y%m%d') IS NOT NULL AND contains(url, '.example/')",

@@ -139,6 +139,15 @@ def item_scores(spark: SparkSession, root: str) -> DataFrame:
     return _titles(spark, root, "score", F.round(shown, 3).alias("shown"), F.round(digest, 4).alias("digest_score"))
 
 
+def candidate_items(spark: SparkSession, root: str) -> DataFrame:
+    """Items worth an event: by score, rank or wording, no digests and little of what fills space."""
+    t, rank = F.col("title"), F.col("best_rank")
+    important, water = S.important_points(t), S.water_points(t)
+    out = (S.is_digest(t) & (important < 20)) | ((water >= 14) & (important < 8))
+    good = (F.col("score") >= 30) | (F.coalesce(rank <= 12, F.lit(False)) & (water < 10)) | (important >= 8)
+    return items(spark, root).filter(~out & good).select("item_id", "score")
+
+
 def crawl_times(spark: SparkSession, root: str) -> DataFrame:
     return _titles(spark, root, "first_at", "last_at")
 
@@ -345,7 +354,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hotlist_scan, news_scan, feed_scan, source_profiles, recent_partitions, all_partitions, title_keys, term_hits, lexicon_scores, domains,
-        category_scores, topics_and_buckets, item_scores, crawl_times, mojibake_entries, url_dates, escaped_titles, exact_events, event_scores,
+        category_scores, topics_and_buckets, item_scores, candidate_items, crawl_times, mojibake_entries, url_dates, escaped_titles, exact_events, event_scores,
         event_categories, event_trends, representative_items, top_events, tracks, category_rollup, category_counts, source_rollup, top_sources,
         source_hotlists, summary_cells, archive, month_groups, quote_history, quote_changes, stale_values, sparklines, quote_stream, html_links,
         div_depths, section_dedupe, page_patch, rss_export, cluster_events, cluster_digest, fuzzy_pairs, timeline, round_robin, p5_found,
