@@ -47,9 +47,14 @@ def domains(text: Column) -> Column:
     return F.when(F.size(hit) == 0, F.array(F.lit("general"))).otherwise(hit)
 
 
+def _pattern(p: str) -> str:
+    """Letter case is ignored where there are cased letters; it makes matching slow."""
+    return f"(?iu){p}" if p.lower() != p.upper() else p
+
+
 def category_points(text: Column, category: str) -> Column:
     """Weights of the category's rules that match, each once."""
-    rules = [F.when(F.coalesce(text, F.lit("")).rlike(f"(?iu){p}"), w).otherwise(0) for p, w in lexicon.CATEGORY_RULES.get(category, ())]
+    rules = [F.when(F.coalesce(text, F.lit("")).rlike(_pattern(p)), w).otherwise(0) for p, w in lexicon.CATEGORY_RULES.get(category, ())]
     return sum(rules[1:], rules[0]) if rules else F.lit(0)
 
 
@@ -69,7 +74,7 @@ def topic(text: Column) -> Column:
     for name, groups in reversed(lexicon.TRACKS):
         match = F.lit(True)
         for g in groups:
-            match = match & F.coalesce(text, F.lit("")).rlike(f"(?iu){g}")
+            match = match & F.coalesce(text, F.lit("")).rlike(_pattern(g))
         out = F.when(match, F.lit(name)).otherwise(out)
     return out
 

@@ -53,16 +53,25 @@ def title_key(title: Column, noise: Sequence[str] = lexicon.TITLE_NOISE, clean:
     return F.regexp_replace(F.regexp_replace(base, f"[{lexicon.TITLE_SIGNS}{SPACE}]+", ""), f"({'|'.join(noise)})$", "")
 
 
+def _has(text: Column, low: Column, term: str) -> Column:
+    """Whether a term occurs, letter case aside; only terms with cased letters need the text in lower case."""
+    return F.contains(text, F.lit(term)) if term.lower() == term.upper() else F.contains(low, F.lit(term.lower()))
+
+
 def term_hits(text: Column, terms: Sequence[str]) -> Column:
     """The terms that occur in the text, letter case aside, in the list's order; one column of the scan, no join."""
     low = F.lower(text)
-    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t.lower())), F.lit(t)) for t in terms)))
+    return F.array_compact(F.array(*(F.when(_has(text, low, t), F.lit(t)) for t in terms)))
 
 
 def hit_count(text: Column, terms: Sequence[str]) -> Column:
     """How many of the terms occur; 0 for null."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return sum((F.contains(low, F.lit(t.lower())).cast("int") for t in terms[1:]), F.contains(low, F.lit(terms[0].lower())).cast("int"))
+    text = F.coalesce(text, F.lit(""))
+    plain = [t for t in terms if t.lower() == t.upper()]
+    cased = [F.contains(F.lower(text), F.lit(t.lower())).cast("int") for t in terms if t not in plain]
+    # a loop over a constant array is quicker than as many expressions
+    parts = ([F.size(F.filter(F.array(*map(F.lit, plain)), lambda t: F.contains(text, t)))] if plain else []) + cased
+    return sum(parts[1:], parts[0])
 
 
 def capped(text: Column, terms: Sequence[str], each: int, most: int) -> Column:
