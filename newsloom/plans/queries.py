@@ -314,9 +314,9 @@ def rss_export(spark: SparkSession, root: str) -> DataFrame:
 
 # ---- order-dependent folds -----------------------------------------------------------------------------------------------
 def cluster_events(spark: SparkSession, root: str) -> DataFrame:
-    """Greedy clustering within buckets; topics join equals only."""
+    """Greedy clustering within buckets over all dates; topics join equals only."""
     rows = items(spark, root).filter("title <> ''").withColumn("key", S.cluster_key(F.col("title"), F.col("title_key"))).withColumn("bucket", S.bucket(F.col("title")))
-    return cluster.greedy_clusters(rows.withColumn("bucket", F.concat_ws("@", "bucket", "date")), CURATED, tuple(t for t, _ in lexicon.TRACKS))
+    return cluster.linked_clusters(rows, CURATED, tuple(t for t, _ in lexicon.TRACKS))
 
 
 def cluster_digest(spark: SparkSession, root: str) -> DataFrame:
