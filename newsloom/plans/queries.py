@@ -327,7 +327,8 @@ def cluster_digest(spark: SparkSession, root: str) -> DataFrame:
 
 
 def fuzzy_pairs(spark: SparkSession, root: str) -> DataFrame:
-    rows = items(spark, root).filter("title_key <> ''").select("item_id", F.col("title_key").alias("key"), F.col("date").alias("bucket"))
+    """All pairs of items with similar keys within a bucket of the event clustering, dates aside."""
+    rows = items(spark, root).filter("title_key <> ''").select("item_id", F.col("title_key").alias("key"), S.bucket(F.col("title")).alias("bucket"))
     return cluster.fuzzy_pairs(rows, CURATED)
 
 
