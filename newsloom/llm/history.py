@@ -132,11 +132,17 @@ def resolved(entries: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 
 
 class History:
-    """Accepted entries and their block tables in a folder; batches are accepted in the order of their ids."""
+    """Accepted entries and their block tables in a folder, those of earlier sessions too; batches are accepted in the order
+    of their ids."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        self.empty = True
+        self.empty = not self._has("entries/*.parquet")
+
+    def _has(self, name: str) -> bool:
+        """Whether a table of the folder has files: rows that an earlier batch or session appended."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return bool(where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where))
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
@@ -148,8 +154,9 @@ class History:
         if not self.empty:
             old = self._table("entries")
             same = entries.select("id", "address").join(old.filter("address IS NOT NULL").select("address", F.col("id").alias("first_id")), "address").filter("first_id < id").select("id", "first_id")
-            like = _titles_in(old, self._table("blocks"), entries.filter("key IS NOT NULL"))
-            before = written(same.unionByName(like).groupBy(F.col("id").alias("entry_id")).agg(F.min("first_id").alias("first_id")), "before")
+            if self._has("blocks/block=*"):
+                same = same.unionByName(_titles_in(old, self._table("blocks"), entries.filter("key IS NOT NULL")))
+            before = written(same.groupBy(F.col("id").alias("entry_id")).agg(F.min("first_id").alias("first_id")), "before")
             entries = written(entries.join(before.select(F.col("entry_id").alias("id")), "id", "left_anti"), "entries")
             cases.append(before)
         kept, found = resolved(entries, entries.count())
@@ -161,7 +168,8 @@ class History:
             found = reduce(DataFrame.unionByName, (c.select("first_id", "entry_id") for c in cases))
         if keep:
             new = written(entries.join(kept, "id", "left_semi"), "accepted")
-            new.write.mode("append").parquet(f"{self.path}/entries")
+            # blocks first: those of entries that a broken session didn't append find nothing
             fingerprints(new).write.mode("append").partitionBy("block").parquet(f"{self.path}/blocks")
-            self.empty = False
+            new.write.mode("append").parquet(f"{self.path}/entries")
+            self.empty = not self._has("entries/*.parquet")
         return found.select("first_id", "entry_id")

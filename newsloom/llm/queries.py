@@ -20,6 +20,8 @@ from newsloom.llm.top_n import latest, top_n
 from newsloom.tables import shared_dir, table
 
 TITLES = {"scored_items": "item_id", "news_items": "id", "feed_entries": "entry_id"}
+#: Batches that p3_found takes its table in.
+P3_BATCHES = 4
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -82,10 +84,16 @@ P2_RECORDS_SQL = f"{_P2_MEMBERS} SELECT cluster_id, title, url, summary, publish
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    """first_id, entry_id: entries that repeat an accepted one, the whole table taken as one batch of a new history."""
+    """first_id, entry_id: entries that repeat an accepted one, the table taken in batches of a new history by entry_id."""
     history = History(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}")
     entries = table(spark, root, "feed_entries").select(F.col("entry_id").alias("id"), "title", "url")
-    return history.accept(entries, keep=False)
+    cuts = entries.agg(F.percentile_approx("id", [k / P3_BATCHES for k in range(1, P3_BATCHES)])).first()[0] or []
+    bounds = [None, *sorted(set(cuts)), None]
+    found = []
+    for lo, hi in zip(bounds, bounds[1:]):
+        batch = entries if lo is None else entries.filter(F.col("id") > lo)
+        found.append(history.accept(batch if hi is None else batch.filter(F.col("id") <= hi)))
+    return reduce(DataFrame.unionByName, found)
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
