@@ -5,11 +5,13 @@ band's entry carries an odd sketch, a parity bitmap of the title's grams: the XO
 exceeds the difference of the two sets, so a candidate whose count is over what the threshold allows is dropped where it
 arises, without loss and before anything is joined. What remains is verified on the texts.
 
+Copies come first: titles with equal keys are one class, found by a hash of 96 bits of the whole key, pre-aggregated, so
+that a class of any size sends one row per task. Only the smallest id of a class is compared with others.
+
 Layout at scale: the keys are exchanged once, by id, which removes redelivered rows; the same exchange serves the
-signatures and both sides of the verification. Band entries travel packed, some 15 bytes each, in one block per batch,
-band and key range; a shard is a band's key range and its entries are sorted and compared as arrays. Titles with equal
-gram sets meet in every band and are one class there: only its smallest id is compared with others, so a group of copies
-of any size costs one link per copy, not all pairs.
+classes, the signatures and both sides of the verification. Band entries travel packed, some 15 bytes each, in one block
+per batch, band and key range; a shard is a band's key range, as many as keep a shard's entries near SHARD_BYTES, and its
+entries are sorted and compared as arrays.
 
 Defined results: null, empty and garbled titles and those with fewer than `min_chars` letters or digits are never
 compared; a title of any length is read whole; ids with several different titles keep the smallest; a title pairs with
@@ -36,6 +38,8 @@ THRESHOLD, MIN_CHARS = 0.6, 8
 MARGIN, MISS = 0.06, 0.005
 #: Pairs compared at once in a shard.
 CHUNK = 2_000_000
+#: Packed entries of a shard, on average.
+SHARD_BYTES = 8_000_000
 
 
 def banding(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
@@ -62,25 +66,38 @@ def plain_keys(df: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return keyed.groupBy("tbl", "id").agg(F.min("key").alias("key"))
 
 
+def classes(keyed: DataFrame) -> DataFrame:
+    """tbl, rep, member: every id with the key of a smaller one, and the smallest id of that key."""
+    hashed = keyed.select("tbl", "id", F.xxhash64("key").alias("h"), F.hash("key").alias("h2"))
+    groups = hashed.groupBy("tbl", "h", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
+    return hashed.join(groups, ["tbl", "h", "h2"]).filter("id <> rep").select("tbl", "rep", F.col("id").alias("member"))
+
+
 _ENTRY = np.dtype([("key", "<u4"), ("odd", "<u8"), ("n", "<u2")])
-#: Titles with more grams than this carry the sketch of 128 bits, for 64 fill up.
-LONG = 36
+#: Titles with more grams than this carry the sketch of 128 bits, for 64 fill up; those with WIDE or more their count in
+#: eight bytes.
+LONG, WIDE = 36, 65535
 
 
-def _pack(ids: np.ndarray, entries: np.ndarray, high: np.ndarray) -> bytes:
+def _pack(ids: np.ndarray, entries: np.ndarray, high: np.ndarray, counts: np.ndarray) -> bytes:
     """Entries in order of ids; ids as differences, byte plane by byte plane, for they compress; the sketches' second
-    halves of long titles."""
+    halves of long titles; counts that two bytes can't hold."""
     steps = np.diff(ids, prepend=ids[:1]).astype("<u8")
-    return b"".join([np.array([len(ids), ids[0]], "<i8").tobytes(), steps.view("u1").reshape(-1, 8).T.tobytes(), entries.tobytes(), high[entries["n"] > LONG].tobytes()])
+    wide = counts[entries["n"] == WIDE].astype("<u8")
+    return b"".join([np.array([len(ids), ids[0]], "<i8").tobytes(), steps.view("u1").reshape(-1, 8).T.tobytes(), entries.tobytes(), wide.tobytes(), high[entries["n"] > LONG].tobytes()])
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, entries, second halves, counts."""
     n, first = np.frombuffer(blob, "<i8", 2)
     steps = np.frombuffer(blob, "u1", 8 * n, 16).reshape(8, n).T.copy().view("<u8").ravel()
     entries = np.frombuffer(blob, _ENTRY, n, 16 + 8 * n)
+    counts, wide = entries["n"].astype("int64"), entries["n"] == WIDE
+    at = 16 + (8 + _ENTRY.itemsize) * n
+    counts[wide] = np.frombuffer(blob, "<u8", int(wide.sum()), at)
     high = np.zeros(n, "<u8")
-    high[entries["n"] > LONG] = np.frombuffer(blob, "<u8", -1, 16 + (8 + _ENTRY.itemsize) * n)
-    return first + np.cumsum(steps).astype("int64"), entries, high
+    high[entries["n"] > LONG] = np.frombuffer(blob, "<u8", -1, at + 8 * int(wide.sum()))
+    return first + np.cumsum(steps).astype("int64"), entries, high, counts
 
 
 def band_entries(keyed: DataFrame, rows: int, bands: int, ranges: int) -> DataFrame:
@@ -97,7 +114,7 @@ def band_entries(keyed: DataFrame, rows: int, bands: int, ranges: int) -> DataFr
                 keys = band_keys(minhash(g, rows * bands), rows)
                 rest = np.zeros(len(ids), _ENTRY)
                 low, high = odd_sketch(g)
-                rest["odd"], rest["n"] = low ^ high, np.minimum(g.counts, 65535)
+                rest["odd"], rest["n"] = low ^ high, np.minimum(g.counts, WIDE)
                 shards, blobs = [], []
                 for band, k in enumerate(keys):
                     rest["key"] = k
@@ -105,25 +122,18 @@ def band_entries(keyed: DataFrame, rows: int, bands: int, ranges: int) -> DataFr
                     for r in range(ranges):
                         if (own := part == r).any():
                             shards.append(band * ranges + r)
-                            blobs.append(_pack(ids[own], rest[own], high[own]))
+                            blobs.append(_pack(ids[own], rest[own], high[own], g.counts[own]))
                 yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([t] * len(shards)), pa.array(blobs, pa.binary())], ["shard", "tbl", "blob"])
 
     return keyed.mapInArrow(entries, "shard int, tbl string, blob binary")
 
 
-def candidates(blobs: list[bytes], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(smaller id, larger id, whether of one class) of the pairs of a shard that the sketches let pass."""
+def candidates(blobs: list[bytes], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(smaller id, larger id) of the pairs of a shard that the sketches let pass."""
     parts = [_unpack(b) for b in blobs]
-    ids, e, high = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    order = np.lexsort((ids, high, e["n"], e["odd"], e["key"]))
-    ids, key, odd, n, high = ids[order], e["key"][order], e["odd"][order], e["n"][order].astype("int64"), high[order]
-    same = np.zeros(len(ids), bool)
-    same[1:] = (key[1:] == key[:-1]) & (odd[1:] == odd[:-1]) & (n[1:] == n[:-1]) & (high[1:] == high[:-1])
-    first = np.flatnonzero(~same)
-    own = np.repeat(first, np.diff(np.append(first, len(ids))))
-    if same.any():
-        yield ids[own[same]], ids[same], np.ones(int(same.sum()), bool)
-    ids, key, odd, n, high = ids[first], key[first], odd[first], n[first], high[first]
+    ids, e, high, n = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    order = np.argsort(e["key"], kind="stable")
+    ids, key, odd, n, high = ids[order], e["key"][order], e["odd"][order], n[order], high[order]
     left, step = np.arange(len(ids)), 1
     while len(left := left[left + step < len(ids)]) and len(left := left[key[left + step] == key[left]]):
         for lo in range(0, len(left), CHUNK):
@@ -139,49 +149,49 @@ def candidates(blobs: list[bytes], threshold: float) -> Iterator[tuple[np.ndarra
                 fits[at] = np.bitwise_count(one) + np.bitwise_count(high[x] ^ high[y]) <= most[at]
             if fits.any():
                 x, y = ids[a[fits]], ids[b[fits]]
-                yield np.minimum(x, y), np.maximum(x, y), np.zeros(len(x), bool)
+                yield np.minimum(x, y), np.maximum(x, y)
         step += 1
 
 
-def like_links(keyed: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
-    """tbl, a, b, copy: verified links, a smaller than b.
+def like_links(reps: DataFrame, texts: DataFrame, n: int, total: int, threshold: float = THRESHOLD) -> DataFrame:
+    """tbl, a, b: verified links, a smaller than b, of (tbl, id, key) with different keys, each once.
 
-    Copies are linked to the smallest id of their class, other links join smallest ids of classes.
+    texts: rows of the same columns that hold those of reps; n: titles of the largest table, which the bands are laid out
+    for; total: of all.
     """
-    spark = keyed.sparkSession
     rows, bands = banding(n, threshold)
-    ranges = max(1, round(int(spark.conf.get("spark.sql.shuffle.partitions")) / bands))
-    packed = band_entries(keyed, rows, bands, ranges).repartitionById(bands * ranges, F.col("shard"))
+    ranges = max(1, ceil(total * (_ENTRY.itemsize + 3) / SHARD_BYTES))
+    packed = band_entries(reps, rows, bands, ranges).repartitionById(bands * ranges, F.col("shard"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[tuple[int, str], list[bytes]] = {}
+        own: dict[str, list[bytes]] = {}  # a task has one shard
         for b in batches:
-            for s, t, blob in zip(*(c.to_pylist() for c in b.columns)):
-                own.setdefault((s, t), []).append(blob)
-        for s, t in list(own):
-            for a, b, copy in candidates(own.pop((s, t)), threshold):
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(a)), pa.array(a), pa.array(b), pa.array(copy)], ["tbl", "a", "b", "copy"])
+            for t, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                own.setdefault(t, []).append(blob)
+        for t in list(own):
+            for a, b in candidates(own.pop(t), threshold):
+                yield pa.RecordBatch.from_arrays([pa.array([t] * len(a)), pa.array(a), pa.array(b)], ["tbl", "a", "b"])
 
-    met = packed.mapInArrow(meet, "tbl string, a long, b long, copy boolean")
+    met = packed.mapInArrow(meet, "tbl string, a long, b long")
     # an exchange by a serves the removal of repeated pairs and the join
-    pairs = met.repartition("tbl", "a").groupBy("tbl", "a", "b").agg(F.max("copy").alias("copy"))
-    left = keyed.select("tbl", F.col("id").alias("a"), F.col("key").alias("key_a"))
-    right = keyed.select("tbl", F.col("id").alias("b"), F.col("key").alias("key_b"))
+    pairs = met.repartition("tbl", "a").distinct()
+    left = texts.select("tbl", F.col("id").alias("a"), F.col("key").alias("key_a"))
+    right = texts.select("tbl", F.col("id").alias("b"), F.col("key").alias("key_b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = [similarity(x, y) >= threshold for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
-            yield b.select([0, 1, 2, 3]).filter(pa.array(good, pa.bool_()))
+            good = [similarity(x, y) >= threshold for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            yield b.select([0, 1, 2]).filter(pa.array(good, pa.bool_()))
 
-    joined = pairs.join(left, ["tbl", "a"]).join(right, ["tbl", "b"]).select("tbl", "a", "b", "copy", "key_a", "key_b")
-    return joined.mapInArrow(verify, "tbl string, a long, b long, copy boolean")
+    joined = pairs.join(left, ["tbl", "a"]).join(right, ["tbl", "b"]).select("tbl", "a", "b", "key_a", "key_b")
+    return joined.mapInArrow(verify, "tbl string, a long, b long")
 
 
-def like_pairs(keyed: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
-    """tbl, id_a, id_b: all pairs of ids with like titles, id_a smaller; the links of classes spread over their members."""
-    links = written(like_links(keyed, n, threshold), "like-links")
-    copies = links.filter("copy").select("tbl", F.col("a").alias("rep"), F.col("b").alias("member"))
-    across = links.filter("NOT copy").select("tbl", "a", "b")
+def like_pairs(keyed: DataFrame, n: int, total: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """tbl, id_a, id_b: all pairs of ids with like titles, once, id_a smaller; the links of classes spread over their members."""
+    copies = written(classes(keyed), "copies")
+    reps = keyed.join(copies.select("tbl", F.col("member").alias("id")), ["tbl", "id"], "left_anti")
+    across = written(like_links(reps, keyed, n, n if total is None else total, threshold), "like-links")
 
     def spread(df: DataFrame, col: str) -> DataFrame:
         """Each row also for the copies of the class in `col`."""

@@ -130,6 +130,34 @@ def test_like_pairs_like_brute_force(spark):
     assert like_pairs(plain_keys(df.limit(0)), 0).count() == 0
 
 
+def test_last_characters_make_no_false_copies(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(0, 900, 3):
+        base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(9, 30)))
+        # the last character changed, a copy, and a near miss
+        rows += [(i, base), (i + 1, base[:-1] + rng.choice("0123456789")), (i + 2, base if i % 2 else base[: len(base) // 2] + "0123456789")]
+    df = spark.createDataFrame([("a", *r) for r in rows], "tbl string, id long, title string")
+    got = [(r.id_a, r.id_b) for r in like_pairs(plain_keys(df), len(rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) <= _like(rows) and len(_like(rows) - set(got)) <= 0.01 * len(got)
+
+
+def test_more_grams_than_two_bytes_count():
+    import numpy as np
+
+    from newsloom.llm import like_titles
+
+    rng = random.Random(4)
+    a = "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(70_000))
+    keys = [a, a[:60_000] + a[1:9_000], a[20_000:]]
+    g = grams_of(keys)
+    low, high = odd_sketch(g)
+    e = np.zeros(3, like_titles._ENTRY)
+    e["odd"], e["n"] = low ^ high, np.minimum(g.counts, like_titles.WIDE)
+    ids = np.array([3, 8, 9])
+    assert [x.tolist() for x in like_titles._unpack(like_titles._pack(ids, e, high, g.counts))] == [ids.tolist(), e.tolist(), high.tolist(), g.counts.tolist()]
+
+
 def test_sketches():
     import numpy as np
 
