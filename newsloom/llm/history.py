@@ -1,42 +1,61 @@
 """New batches against everything accepted before (problem 3).
 
 A title's fingerprint is a row of bits in blocks: block i holds the MinHash values of band i, and a parity bitmap of the
-title's grams stands beside them. The history keeps one rotated table per block, keyed by that block, so that a new
+title's grams stands beside them; the address and the id are blocks of their own. The history keeps a table of blocks, in which a new
 fingerprint finds every stored one that agrees with it in a block by exact look-up. What is found is verified by bit
 difference (the bitmaps' Hamming distance never exceeds the difference of the gram sets) and then on the text. Blocks of
 one MinHash band are used because one-bit fingerprints of 64 bits can't find titles as unlike as 0.6 in so few look-ups.
-Accepted entries' fingerprints are appended; the history's texts are never fingerprinted again.
+Then the accepted entries' blocks are appended; what the history holds is never fingerprinted again.
 
-Within a batch, links come from the same blocks (`like_titles`). Then entries are taken in the order of their ids, in
-rounds instead of one by one: an entry that no undecided smaller one could anticipate is accepted, and what shares its
-address or has a like title is a case. The rounds are as many as the longest chain of entries that wait for each other.
+Storage: the history is a folder of segments, one per batch, merged MERGE at a time into larger ones, so that an entry is
+rewritten as often as the logarithm of the number of batches. A segment's blocks are spread by word, and its texts by
+id, over as many buckets as keep a bucket near BUCKET entries; a batch opens only the buckets that its words (its found
+ids) fall into. A batch is committed by one file, a new version of the list of segments, so a broken session leaves
+nothing that a later one could see, and two sessions can't both commit the same version.
 
-At scale: an address or a class of equal titles of any size is decided by its smallest id, so a hot group needs one
-pre-aggregated minimum per round and no pairs; entries that share nothing are accepted without a round.
+Within a batch, copies (equal titles) are one class and only its smallest id is fingerprinted; links come from the same
+blocks. Then entries are taken in the order of their ids, in rounds instead of one by one: an entry that no undecided
+smaller one could anticipate is accepted, and what shares its address or has a like title is a case. The rounds are as
+many as the longest chain of entries that wait for each other.
+
+At scale: the batch's blocks are broadcast to the history's buckets if they are few (LOOKED_UP rows, counted before; so
+are other counted tables of a batch), else both sides are exchanged by block and word. An address or a class of copies of any size is decided by its smallest
+id, so a hot group needs one pre-aggregated minimum per round and no pairs; entries that share nothing are accepted
+without a round.
 
 Defined results: rows of one id are one entry (its smallest values by field); ids are null for no entry; null, empty and
-relative addresses are no addresses; null, short and garbled titles are like none; an entry of a later batch must have a
-larger id than those before it to be compared; an empty batch or history gives no cases.
+relative addresses are no addresses; null, short and garbled titles are like none; what the history holds came before
+the batch, whatever its ids; an id that the history holds is that entry, delivered again: no case, and not appended; an
+empty batch or history gives no cases; columns of other names are never read.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.llm.charsets import is_garbled
 from newsloom.llm.grams import band_keys, grams_of, minhash, odd_sketch, similarity
-from newsloom.llm.like_titles import THRESHOLD, banding, like_links, plain_keys
-from newsloom.tables import written
+from newsloom.llm.like_titles import MIN_CHARS, THRESHOLD, banding
+from newsloom.llm.lookalikes import plain_key
+from newsloom.tables import files
 
 #: Parameters of an address that tell stories apart.
 KEPT_PARAMETERS = ("id", "aid", "docid")
 #: Titles that the number of blocks is laid out for; a history keeps its layout.
 LAYOUT = 3_000_000
+#: Segments of a level that are merged, entries of a bucket on average, rows of blocks that may be broadcast.
+MERGE, BUCKET, LOOKED_UP = 8, 10_000, 500_000
+#: The blocks of the address and of the id itself.
+ADDRESS, OWN = -1, -2
+_BLOCKS, _TEXTS = "block int, word long, id long, low long, high long, n int", "id long, address string, key string"
 
 
 def address_key(url: Column) -> Column:
@@ -56,13 +75,21 @@ def address_key(url: Column) -> Column:
 
 def prepared(batch: DataFrame) -> DataFrame:
     """id, address, key: one row per entry of (id, title, url), with the title in its plain form."""
-    ids = batch.filter("id IS NOT NULL").groupBy(F.col("id").cast("long").alias("id")).agg(F.min(address_key(F.col("url"))).alias("address"))
-    keys = plain_keys(batch.select(F.lit("").alias("tbl"), "id", "title")).select("id", "key")
-    return written(ids.join(keys, "id", "left"), "entries")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column(2).to_pylist():
+                key = plain_key(t) if t is not None and len(t) >= MIN_CHARS else ""
+                out.append(key if len(key) >= MIN_CHARS and not is_garbled(t) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["id", "address", "key"])
+
+    rows = batch.filter("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), address_key(F.col("url")).alias("address"), "title")
+    return rows.mapInArrow(keys, _TEXTS).groupBy("id").agg(F.min("address").alias("address"), F.min("key").alias("key"))
 
 
 def fingerprints(entries: DataFrame) -> DataFrame:
-    """block, word, id, odd, n: a row per block of each title's fingerprint."""
+    """block, word, id, low, high, n: a row per block of the title's fingerprint of each (id, key)."""
     rows, bands = banding(LAYOUT)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,106 +97,212 @@ def fingerprints(entries: DataFrame) -> DataFrame:
             if b.num_rows:
                 g = grams_of(b.column(1).to_pylist())
                 words, (low, high) = band_keys(minhash(g, rows * bands), rows), odd_sketch(g)
-                ids, odd = b.column(0).to_numpy(), (low ^ high).view("int64")
-                for i, w in enumerate(words):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(ids), i, "int32")), pa.array(w.astype("int64")), pa.array(ids), pa.array(odd), pa.array(g.counts.astype("int32"))], ["block", "word", "id", "odd", "n"]
-                    )
+                ids = b.column(0).to_numpy()
+                own = [np.tile(c, bands) for c in (ids, low.view("int64"), high.view("int64"), g.counts.astype("int32"))]
+                columns = [np.repeat(np.arange(bands, dtype="int32"), len(ids)), words.astype("int64").ravel(), *own]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "word", "id", "low", "high", "n"])
 
-    return entries.filter("key IS NOT NULL").select("id", "key").mapInArrow(blocks, "block int, word long, id long, odd long, n int")
+    return entries.filter("key IS NOT NULL").select("id", "key").mapInArrow(blocks, _BLOCKS)
 
 
-def _titles_in(history: DataFrame, stored: DataFrame, new: DataFrame) -> DataFrame:
-    """id, first_id: stored entries with like titles, by look-up, bit difference and text."""
-    a = fingerprints(new).alias("a").join(stored.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.word") == F.col("b.word")) & (F.col("b.id") < F.col("a.id")))
-    most = (F.col("a.n") + F.col("b.n")) * ((1 - THRESHOLD) / (1 + THRESHOLD))
-    near = a.filter(F.bit_count(F.col("a.odd").bitwiseXOR(F.col("b.odd"))) <= most + 1e-9).select(F.col("a.id").alias("id"), F.col("b.id").alias("first_id")).distinct()
-    pairs = near.join(new.select("id", F.col("key").alias("x")), "id").join(history.select(F.col("id").alias("first_id"), F.col("key").alias("y")), "first_id").select("id", "first_id", "x", "y")
+def _plain_blocks(entries: DataFrame, block: int, word: Column) -> DataFrame:
+    """A block that isn't of the title."""
+    none = F.lit(0).cast("long")
+    return entries.select(F.lit(block).alias("block"), word.alias("word"), "id", none.alias("low"), none.alias("high"), F.lit(0).alias("n"))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.select([0, 1]).filter(pa.array([similarity(x, y) >= THRESHOLD for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_()))
-
-    return pairs.mapInArrow(verify, "id long, first_id long")
-
-
-def resolved(entries: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(accepted ids, cases (entry_id, first_id)) of a batch of (id, address, key) by itself, in the order of ids."""
-    links = written(like_links(entries.filter("key IS NOT NULL").select(F.lit("").alias("tbl"), "id", "key"), n), "links")
-    # class of equal titles: its smallest id
-    classes = links.filter("copy").select(F.col("b").alias("id"), F.col("a").alias("t"))
-    across = links.filter("NOT copy").select(F.col("a").alias("t"), F.col("b").alias("t2"))
-    near = across.unionByName(across.select(F.col("t2").alias("t"), F.col("t").alias("t2")))
-    linked = near.select("t").unionByName(classes.select("t")).distinct()
-    near = written(near.unionByName(linked.select("t", F.col("t").alias("t2"))), "near")
-    shared = entries.filter("address IS NOT NULL").groupBy("address").agg(F.count("*").alias("_c")).filter("_c > 1").select("address")
-    nodes = entries.select("id", "address").join(classes, "id", "left").withColumn("t", F.coalesce("t", "id"))
-    nodes = nodes.join(linked.withColumn("_linked", F.lit(True)), "t", "left").join(shared.withColumn("_shared", F.lit(True)), "address", "left")
-    nodes = written(nodes.select("id", F.when(F.col("_shared"), F.col("address")).alias("a"), F.when(F.col("_linked"), F.col("t")).alias("t")), "nodes")
-    alone = "a IS NULL AND t IS NULL"
-    accepted, rest = [nodes.filter(alone)], nodes.filter(f"NOT ({alone})")
+
+def classed(entries: DataFrame) -> DataFrame:
+    """Entries with t and u, the smallest ids with their title and with their address, and whether others have these."""
+    out = entries
+    for column, first, more in (("key", "t", "tc"), ("address", "u", "uc")):
+        known = entries.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min("id").alias(first), (F.count("*") > 1).alias(more))
+        out = out.join(known, column, "left")
+    return out.select("id", "address", "key", "t", "tc", "u", "uc")
+
+
+def _bucket(buckets: int, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
+
+
+class _Work:
+    """Written tables of one batch, deleted when it is done."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path, self.rows = spark, path, 0
+
+    def __call__(self, df: DataFrame, name: str, which: str = "true") -> DataFrame:
+        """The rows by way of a written table; `rows` says how many of them `which` holds for."""
+        path, seen = f"{self.path}/{name}-{uuid.uuid4().hex}", Observation()
+        df.observe(seen, F.count_if(F.expr(which)).alias("n")).write.parquet(path)
+        self.rows = seen.get["n"]
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def done(self) -> None:
+        fs, where = files(self.spark, self.path)
+        fs.delete(where, True)
+
+
+def resolved(nodes: DataFrame, near: DataFrame, work: _Work) -> tuple[DataFrame, DataFrame]:
+    """(accepted (id, u, t), cases (id, first_id)) of nodes (id, u, t: address and title, null where nothing else of the
+    batch shares or resembles them), in the order of ids; near: (t, t2) of like titles, both ways."""
+    accepted, rest = [], nodes
+    both = lambda df: near.join(df, "t2").select("t", "i").unionByName(df.select(F.col("t2").alias("t"), "i"))
     while True:
-        by_a = rest.filter("a IS NOT NULL").groupBy("a").agg(F.min("id").alias("_a"))
-        by_t = rest.filter("t IS NOT NULL").groupBy(F.col("t").alias("t2")).agg(F.min("id").alias("_i"))
-        by_near = near.join(by_t, "t2").groupBy("t").agg(F.min("_i").alias("_t"))
-        first = F.least(F.col("id"), F.coalesce("_a", "id"), F.coalesce("_t", "id"))
-        now = written(rest.join(by_a, "a", "left").join(by_near, "t", "left").select("id", "a", "t", (F.col("id") == first).alias("_ok")), "round")
-        taken = now.filter("_ok").select("id", "a", "t")
-        accepted.append(taken)
-        gone_a = taken.filter("a IS NOT NULL").select("a")
-        gone_t = near.join(taken.filter("t IS NOT NULL").select(F.col("t").alias("t2")), "t2").select("t").distinct()
-        rest = written(now.filter("NOT _ok").select("id", "a", "t").join(gone_a, "a", "left_anti").join(gone_t, "t", "left_anti").select("id", "a", "t"), "rest")
-        if rest.isEmpty():
+        by_u = rest.filter("u IS NOT NULL").groupBy("u").agg(F.min("id").alias("_u"))
+        by_t = both(rest.filter("t IS NOT NULL").groupBy(F.col("t").alias("t2")).agg(F.min("id").alias("i"))).groupBy("t").agg(F.min("i").alias("_t"))
+        first = F.least(F.col("id"), F.coalesce("_u", "id"), F.coalesce("_t", "id"))
+        now = work(rest.join(by_u, "u", "left").join(by_t, "t", "left").select("id", "u", "t", (F.col("id") == first).alias("_ok")), "round")
+        if not work.rows:
             break
+        taken = now.filter("_ok").select("id", "u", "t")
+        accepted.append(taken)
+        gone_u = taken.filter("u IS NOT NULL").select("u")
+        gone_t = both(taken.filter("t IS NOT NULL").select(F.col("t").alias("t2"), F.col("id").alias("i"))).select("t")
+        rest = now.filter("NOT _ok").select("id", "u", "t").join(gone_u, "u", "left_anti").join(gone_t, "t", "left_anti").select("id", "u", "t")
     kept = reduce(DataFrame.unionByName, accepted)
     # at most one entry of an address, and one of a class, is accepted
-    cases = nodes.filter(f"NOT ({alone})").join(kept.select("id"), "id", "left_anti")
-    by_a = cases.join(kept.filter("a IS NOT NULL").select("a", F.col("id").alias("first_id")), "a").select("id", "first_id")
-    by_t = near.join(kept.filter("t IS NOT NULL").select(F.col("t").alias("t2"), F.col("id").alias("first_id")), "t2").select("t", "first_id")
-    by_t = cases.join(by_t, "t").select("id", "first_id")
-    found = by_a.unionByName(by_t).filter("first_id < id").groupBy(F.col("id").alias("entry_id")).agg(F.min("first_id").alias("first_id"))
-    return kept.select("id"), found
+    cases = nodes.join(kept.select("id"), "id", "left_anti")
+    by_u = cases.join(kept.filter("u IS NOT NULL").select("u", F.col("id").alias("i")), "u").select("id", "i")
+    by_t = cases.join(both(kept.filter("t IS NOT NULL").select(F.col("t").alias("t2"), F.col("id").alias("i"))), "t").select("id", "i")
+    return kept, by_u.unionByName(by_t).filter("i < id").groupBy("id").agg(F.min("i").alias("first_id"))
 
 
 class History:
-    """Accepted entries and their block tables in a folder, those of earlier sessions too; batches are accepted in the order
-    of their ids."""
+    """Accepted entries and their blocks in a folder; one opened on an existing folder goes on from it."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-        self.empty = not self._has("entries/*.parquet")
+    def __init__(self, spark: SparkSession, path: str, bucket: int = BUCKET, looked_up: int = LOOKED_UP) -> None:
+        self.spark, self.path, self.bucket, self.looked_up = spark, path.rstrip("/"), bucket, looked_up
+        versions = [0]
+        fs, where = files(spark, f"{self.path}/versions")
+        if fs.exists(where):
+            versions += [int(f.getPath().getName()) for f in fs.listStatus(where) if f.getPath().getName().isdigit()]
+        self.version = max(versions)
+        #: Segments: name, level, number of entries, buckets.
+        self.segments: list[dict] = json.loads(self._read(self.version)) if self.version else []
+
+    def _read(self, version: int) -> str:
+        return "".join(r[0] for r in self.spark.read.text(f"{self.path}/versions/{version}", wholetext=True).collect())
+
+    def _commit(self, segments: list[dict]) -> None:
+        """A new version, visible at once and whole; raises if another session has committed it."""
+        fs, to = files(self.spark, f"{self.path}/versions/{self.version + 1}")
+        _, draft = files(self.spark, f"{self.path}/draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(json.dumps(segments).encode())
+        out.close()
+        fs.mkdirs(to.getParent())
+        if fs.exists(to) or not fs.rename(draft, to):
+            raise RuntimeError("another session has committed to this history")
+        self.version, self.segments = self.version + 1, segments
+
+    def _part(self, kind: str, segments: list[dict], touched: dict[int, list[int]] | None = None) -> DataFrame:
+        """Rows of a kind of table (blocks, texts) of segments, of the touched buckets (by a segment's number of buckets)."""
+        paths = [f"{self.path}/{s['name']}/kind={kind}/bucket={k}" for s in segments for k in (touched or {}).get(s["buckets"], range(s["buckets"]))]
+        paths = [p for p in paths if files(self.spark, p)[0].exists(files(self.spark, p)[1])]
+        schema = _BLOCKS if kind == "blocks" else _TEXTS
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _touched(self, rows: DataFrame, *columns: str) -> dict[int, list[int]]:
+        """The buckets that rows fall into, for each number of buckets that segments have; one number per bucket."""
+        sizes = sorted({s["buckets"] for s in self.segments if s["buckets"] > 1})
+        if not sizes:
+            return {}
+        seen = rows.select(F.explode(F.array(*(F.struct(F.lit(n).alias("n"), _bucket(n, *columns).alias("k")) for n in sizes))).alias("b")).select("b.*").distinct()
+        out: dict[int, list[int]] = {n: [] for n in sizes}
+        for r in seen.collect():
+            out[r["n"]].append(r["k"])
+        return out
+
+    def _append(self, texts: DataFrame, blocks: DataFrame, n: int, level: int) -> dict:
+        """A written segment, not yet committed."""
+        segment = {"name": f"segment-{uuid.uuid4().hex}", "level": level, "rows": n, "buckets": max(1, -(-n // self.bucket))}
+        none = lambda *names: [F.lit(None).cast(t).alias(c) for c, t in map(str.split, f"{_BLOCKS}, {_TEXTS}".split(", ")) if c in names]
+        parts = [
+            texts.select(F.lit("texts").alias("kind"), _bucket(segment["buckets"], "id").alias("bucket"), "id", "address", "key", *none("block", "word", "low", "high", "n")),
+            blocks.select(F.lit("blocks").alias("kind"), _bucket(segment["buckets"], "block", "word").alias("bucket"), "id", *none("address", "key"), "block", "word", "low", "high", "n"),
+        ]
+        rows = parts[0].unionByName(parts[1]).repartition(2 * segment["buckets"], "kind", "bucket").sortWithinPartitions("kind", "bucket", "block", "word", "id")
+        rows.write.partitionBy("kind", "bucket").parquet(f"{self.path}/{segment['name']}")
+        return segment
+
+    def _merged(self, segments: list[dict]) -> tuple[list[dict], list[dict]]:
+        """(segments, replaced): while MERGE segments are of one level, they become one of the next."""
+        gone: list[dict] = []
+        while full := next((own for v in sorted({s["level"] for s in segments}) if len(own := [s for s in segments if s["level"] == v]) >= MERGE), None):
+            one = self._append(self._part("texts", full), self._part("blocks", full), sum(s["rows"] for s in full), full[0]["level"] + 1)
+            segments = [*(s for s in segments if s not in full), one]
+            gone += full
+        return segments, gone
+
+    def _small(self, df: DataFrame, n: int) -> DataFrame:
+        """A table of n rows, broadcast if these are few."""
+        return F.broadcast(df) if n <= self.looked_up else df
+
+    def _links(self, words: DataFrame, n: int, entries: DataFrame, work: _Work) -> DataFrame:
+        """id, first_id, old, block: what agrees in the address or the id or has a like title, by look-up, bit difference and
+        text; first_id is of the history (old), or a smaller one of the batch's titles."""
+        stored = words.filter(F.col("block") >= 0).withColumn("old", F.lit(False))
+        if self.segments and n:
+            stored = stored.unionByName(self._part("blocks", self.segments, self._touched(words, "block", "word")).withColumn("old", F.lit(True)))
+        agree = (F.col("a.block") == F.col("b.block")) & (F.col("a.word") == F.col("b.word")) & (F.col("b.old") | (F.col("b.id") < F.col("a.id")))
+        most = (F.col("a.n") + F.col("b.n")) * ((1 - THRESHOLD) / (1 + THRESHOLD))
+        near = stored.alias("b").join(self._small(words, n).alias("a"), agree).filter(sum(F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in ("low", "high")) <= most + 1e-9)
+        near = work(near.select(F.col("a.id").alias("id"), F.col("b.id").alias("first_id"), "b.old", F.least(F.col("a.block"), F.lit(0)).alias("block")).distinct(), "agree")
+        if not work.rows:
+            return near
+        pairs = self._small(self._small(near, work.rows).join(entries.select("id", F.col("address").alias("v"), F.col("key").alias("x")), "id"), work.rows)
+        known = entries.filter("id = t").select("id", "address", "key", F.lit(False).alias("old"))
+        if self.segments:
+            held = self._part("texts", self.segments, self._touched(near.filter("old").select(F.col("first_id").alias("id")), "id"))
+            known = known.unionByName(held.withColumn("old", F.lit(True)))
+        met = known.select(F.col("id").alias("first_id"), "old", F.col("address").alias("u"), F.col("key").alias("y")).join(pairs, ["first_id", "old"])
+        met = met.select("id", "first_id", "old", "block", F.when(F.col("block") == ADDRESS, F.col("u")).otherwise(F.col("y")).alias("p"), F.when(F.col("block") == ADDRESS, F.col("v")).otherwise(F.col("x")).alias("q"))
 
-    def _has(self, name: str) -> bool:
-        """Whether a table of the folder has files: rows that an earlier batch or session appended."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return bool(where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where))
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                good = [k == OWN or (p == q if k == ADDRESS else similarity(p, q) >= THRESHOLD) for k, p, q in zip(*(b.column(c).to_pylist() for c in (3, 4, 5)))]
+                yield b.select([0, 1, 2, 3]).filter(pa.array(good, pa.bool_()))
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return work(met.mapInArrow(verify, "id long, first_id long, old boolean, block int"), "links")
 
     def accept(self, batch: DataFrame, keep: bool = True) -> DataFrame:
         """first_id, entry_id: the cases of a batch of (id, title, url). The others join the history if `keep`."""
-        entries = prepared(batch)
-        cases: list[DataFrame] = []
-        if not self.empty:
-            old = self._table("entries")
-            same = entries.select("id", "address").join(old.filter("address IS NOT NULL").select("address", F.col("id").alias("first_id")), "address").filter("first_id < id").select("id", "first_id")
-            if self._has("blocks/block=*"):
-                same = same.unionByName(_titles_in(old, self._table("blocks"), entries.filter("key IS NOT NULL")))
-            before = written(same.groupBy(F.col("id").alias("entry_id")).agg(F.min("first_id").alias("first_id")), "before")
-            entries = written(entries.join(before.select(F.col("entry_id").alias("id")), "id", "left_anti"), "entries")
-            cases.append(before)
-        kept, found = resolved(entries, entries.count())
-        if keep or cases:
-            found = written(found, "found")
-        if cases:
-            # an entry that repeats one of its own batch may repeat an older one as well only if it was found above
-            cases.append(found)
-            found = reduce(DataFrame.unionByName, (c.select("first_id", "entry_id") for c in cases))
-        if keep:
-            new = written(entries.join(kept, "id", "left_semi"), "accepted")
-            # blocks first: those of entries that a broken session didn't append find nothing
-            fingerprints(new).write.mode("append").partitionBy("block").parquet(f"{self.path}/blocks")
-            new.write.mode("append").parquet(f"{self.path}/entries")
-            self.empty = not self._has("entries/*.parquet")
-        return found.select("first_id", "entry_id")
+        work = _Work(self.spark, f"{self.path}/work-{uuid.uuid4().hex}")
+        entries = work(classed(work(prepared(batch), "entries")), "classed")
+        held = [_plain_blocks(entries, OWN, F.col("id"))] if self.segments else []
+        words = [fingerprints(entries.filter("id = t")), _plain_blocks(entries.filter("id = u"), ADDRESS, F.xxhash64("address")), *held]
+        words = work(reduce(DataFrame.unionByName, words), "words")
+        links = self._links(words, work.rows, entries, work)
+        n = work.rows
+        # what is known of a title, an address and an id by their smallest ids
+        old = lambda block: links.filter(F.col("old") & (F.col("block") == block)).select("id", "first_id")
+        within = links.filter("NOT old").select(F.col("first_id").alias("t"), F.col("id").alias("t2"))
+        near = within.unionByName(within.select(F.col("t2").alias("t"), F.col("t").alias("t2")))
+        title = old(0).select(F.col("id").alias("t"), F.col("first_id").alias("_t"), F.lit(False).alias("_l")).unionByName(near.select("t", F.lit(None).cast("long").alias("_t"), F.lit(True).alias("_l")))
+        title = title.groupBy("t").agg(F.min("_t").alias("_t"), F.max("_l").alias("_l"))
+        address = old(ADDRESS).groupBy(F.col("id").alias("u")).agg(F.min("first_id").alias("_u"))
+        own = old(OWN).select("id", F.lit(True).alias("held")).distinct()
+        marked = entries.join(self._small(title, n), "t", "left").join(self._small(address, n), "u", "left").join(self._small(own, n), "id", "left")
+        marked = marked.select("id", "address", "key", "t", F.coalesce("held", F.lit(False)).alias("held"), F.least("_t", "_u").alias("first_id"), F.when(F.col("uc"), F.col("u")).alias("mu"), F.when(F.col("tc") | F.col("_l"), F.col("t")).alias("mt"))
+        marked = marked.withColumn("open", F.expr("NOT held AND first_id IS NULL AND (mu IS NOT NULL OR mt IS NOT NULL)"))
+        marked = work(marked, "marked", "open")
+        if work.rows:
+            nodes = marked.filter("open").select("id", F.col("mu").alias("u"), F.col("mt").alias("t"))
+            cases = resolved(nodes, near, work)[1]
+            marked = marked.join(cases.withColumnRenamed("first_id", "_f"), "id", "left").withColumn("first_id", F.coalesce("first_id", "_f"))
+        path = f"{self.path}/decided-{uuid.uuid4().hex}"
+        new = "NOT held AND first_id IS NULL"
+        seen = Observation()
+        marked.select("id", "address", "key", "t", "held", "first_id").observe(seen, F.count_if(F.expr(new)).alias("n")).write.parquet(path)
+        decided = self.spark.read.schema("id long, address string, key string, t long, held boolean, first_id long").parquet(path)
+        if keep and (n := seen.get["n"]):
+            fresh = decided.filter(new)
+            titles = words.filter("block >= 0").withColumnRenamed("id", "t").join(fresh.select("id", "t"), "t").select("block", "word", "id", "low", "high", "n")
+            plain = [_plain_blocks(fresh.filter("address IS NOT NULL"), ADDRESS, F.xxhash64("address")), _plain_blocks(fresh, OWN, F.col("id"))]
+            segments, gone = self._merged([*self.segments, self._append(fresh.select("id", "address", "key"), reduce(DataFrame.unionByName, plain, titles), n, 0)])
+            self._commit(segments)
+            for s in gone:
+                fs, where = files(self.spark, f"{self.path}/{s['name']}")
+                fs.delete(where, True)
+        work.done()
+        return decided.filter("NOT held AND first_id IS NOT NULL").select("first_id", F.col("id").alias("entry_id"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +16,11 @@ from newsloom.llm.pii import entities, masked
 from newsloom.llm.survivors import records, survivors
 from newsloom.llm.tokens import token_counts, token_ids
 from newsloom.llm.top_n import latest, top_n
-from newsloom.tables import shared_dir, table
+from newsloom.tables import scratch, table
 
+#: Batch numbers that p3_found takes at once: each look-up costs some forty stages, however small the batch.
+P3_STEP = 10
 TITLES = {"scored_items": "item_id", "news_items": "id", "feed_entries": "entry_id"}
-#: Batches that p3_found takes its table in.
-P3_BATCHES = 4
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -84,16 +83,23 @@ P2_RECORDS_SQL = f"{_P2_MEMBERS} SELECT cluster_id, title, url, summary, publish
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    """first_id, entry_id: entries that repeat an accepted one, the table taken in batches of a new history by entry_id."""
-    history = History(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}")
-    entries = table(spark, root, "feed_entries").select(F.col("entry_id").alias("id"), "title", "url")
-    cuts = entries.agg(F.percentile_approx("id", [k / P3_BATCHES for k in range(1, P3_BATCHES)])).first()[0] or []
-    bounds = [None, *sorted(set(cuts)), None]
-    found = []
-    for lo, hi in zip(bounds, bounds[1:]):
-        batch = entries if lo is None else entries.filter(F.col("id") > lo)
-        found.append(history.accept(batch if hi is None else batch.filter(F.col("id") <= hi)))
-    return reduce(DataFrame.unionByName, found)
+    """first_id, entry_id: entries that repeat an accepted one, batches in their order against the history so far."""
+    number = F.floor(F.coalesce("batch_no", F.lit(-1)) / P3_STEP).cast("int").alias("batch")
+    rows = table(spark, root, "feed_entries").select(number, F.col("entry_id").alias("id"), "title", "url").filter("id IS NOT NULL")
+    path = scratch(spark, "history")
+    # the batches as they arrive: each a part of its own, so that a batch is read once
+    rows.write.partitionBy("batch").parquet(f"{path}/arrived")
+    arrived = spark.read.schema("id long, title string, url string, batch int").parquet(f"{path}/arrived")
+    # entries are taken by id, so batches whose ids overlap are taken together; one row per batch
+    spans: list[list] = []
+    for r in arrived.groupBy("batch").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).orderBy("lo").collect():
+        if spans and r["lo"] <= spans[-1][0]:
+            spans[-1] = [max(spans[-1][0], r["hi"]), [*spans[-1][1], r["batch"]]]
+        else:
+            spans.append([r["hi"], [r["batch"]]])
+    history = History(spark, f"{path}/history")
+    found = [history.accept(arrived.filter(F.col("batch").isin(*numbers)).drop("batch")) for _, numbers in spans]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "first_id long, entry_id long")
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
@@ -115,7 +121,8 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """tbl, id_a, id_b: like titles within scored_items and within news_items."""
     tables = {t: table(spark, root, t).select(F.lit(t).alias("tbl"), F.col(TITLES[t]).alias("id"), "title") for t in ("scored_items", "news_items")}
     keyed = plain_keys(reduce(DataFrame.unionByName, tables.values()))
-    return like_pairs(keyed, max(t.count() for t in tables.values()))
+    counts = [t.count() for t in tables.values()]
+    return like_pairs(keyed, max(counts), sum(counts))
 
 
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:

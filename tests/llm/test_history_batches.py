@@ -1,7 +1,8 @@
-"""Problem 3: a history that outlives its session, and the query in several batches."""
+"""Problem 3: a history that outlives its session, its segments and buckets, and the query batch by batch."""
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsloom.llm import history, queries
@@ -17,6 +18,9 @@ def test_history_of_an_earlier_session(spark):
     assert History(spark, path).accept(spark.createDataFrame(first, SCHEMA)).count() == 0
     again = [(3, "Wortkurkos Bank drops ferry KA-5022", None), (4, None, "https://a.example/2"), (5, "something else entirely", None)]
     assert {tuple(r) for r in History(spark, path).accept(spark.createDataFrame(again, SCHEMA)).collect()} == {(1, 3), (2, 4)}
+    # smaller ids than the history's, and ids that it holds
+    late = [(0, "Wortkurkos Bank drops ferry KA-5021", None), (5, "something else entirely", None), (2, None, "https://a.example/2")]
+    assert {tuple(r) for r in History(spark, path).accept(spark.createDataFrame(late, SCHEMA)).collect()} == {(1, 0)}
 
 
 def test_history_without_titles(spark):
@@ -26,11 +30,40 @@ def test_history_without_titles(spark):
     assert [tuple(r) for r in found] == [(1, 2)]
 
 
-def test_p3_found_looks_batches_up(spark, data, monkeypatch):
-    looked, plain = [], history._titles_in
-    monkeypatch.setattr(history, "_titles_in", lambda *a: looked.append(1) or plain(*a))
-    got = sorted(tuple(r) for r in queries.p3_found(spark, data).collect())
-    assert len(looked) == queries.P3_BATCHES - 1
-    entries = table(spark, data, "feed_entries").select(F.col("entry_id").alias("id"), "title", "url")
+def test_two_sessions_can_not_commit_one_version(spark):
+    path = f"{shared_dir(spark)}/twice-{random.random()}"
+    one, two = History(spark, path), History(spark, path)
+    row = spark.createDataFrame([(1, "a title of some length", None)], SCHEMA)
+    one.accept(row)
+    with pytest.raises(RuntimeError):
+        two.accept(row)
+    assert sum(s["rows"] for s in History(spark, path).segments) == 1
+
+
+def _rows(spark, data):
+    return table(spark, data, "feed_entries").select(F.col("entry_id").alias("id"), "title", "url", "batch_no")
+
+
+@pytest.mark.parametrize("looked_up", [0, 10**6])
+def test_reopened_between_batches_like_one_batch(spark, data, monkeypatch, looked_up):
+    monkeypatch.setattr(history, "MERGE", 2)
+    entries, path, found = _rows(spark, data), f"{shared_dir(spark)}/many-{random.random()}", set()
+    for n in range(0, 30, 8):
+        batch = entries.filter(f"batch_no BETWEEN {n} AND {n + 7}")
+        # small buckets: segments have several, and a batch opens those it needs
+        found |= {tuple(r) for r in History(spark, path, bucket=20, looked_up=looked_up).accept(batch).collect()}
     whole = History(spark, f"{shared_dir(spark)}/whole-{random.random()}").accept(entries, keep=False)
+    assert found == {tuple(r) for r in whole.collect()} and found
+    held = History(spark, path).segments
+    assert max(s["level"] for s in held) >= 1 and max(s["buckets"] for s in held) > 3 and len(held) < 6
+    part = History(spark, path)._part
+    assert part("blocks", held, {s["buckets"]: [0] for s in held}).count() < part("blocks", held).count() / 2
+
+
+def test_p3_found_walks_the_batches(spark, data, monkeypatch):
+    sizes, plain = [], History.accept
+    monkeypatch.setattr(History, "accept", lambda self, batch, keep=True: sizes.append(len(self.segments)) or plain(self, batch, keep))
+    got = sorted(tuple(r) for r in queries.p3_found(spark, data).collect())
+    assert sizes == [*range(30 // queries.P3_STEP)]
+    whole = plain(History(spark, f"{shared_dir(spark)}/whole-{random.random()}"), _rows(spark, data), keep=False)
     assert got == sorted(tuple(r) for r in whole.collect()) and got
