@@ -11,6 +11,8 @@ from functools import lru_cache
 import regex
 
 REPLACEMENT = "�"
+#: What two replacement characters become where their UTF-8 is read as GBK.
+REPLACED_AS_GBK = (REPLACEMENT * 2).encode("utf-8").decode("gbk")
 #: UTF-8 sequences of two to four bytes, as Latin-1 characters.
 _UTF8 = regex.compile("(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
 #: What restored characters may be: Latin-1 signs and letters, Greek and Cyrillic letters, punctuation, CJK, emoji.
@@ -18,8 +20,8 @@ _PLAUSIBLE = regex.compile(r"[\x00-\x7f -ÿͰ-ϿЀ-џ -⁯€№™☀-➿　
 #: Accented letters of the Latin texts of this domain; others don't come out of Chinese characters.
 _ACCENTED = frozenset("ÀÁÂÃÄÅÇÈÉÊÑÒÓÔÕÖØÙÚÛÜßàáâãäåçèéêñòóôõöøùúûü")
 _ODD = regex.compile(r"[\u0080-ÿŒœŠšŸŽžƒˆ˜Ѐ-џҐґ–-›€№™�]")
+_ASSIGNED = regex.compile(r"[^\p{C}]*+")
 _CONTROLS = regex.compile("[\x80-\x9f]")
-PASSES = 3
 
 
 @lru_cache(maxsize=None)
@@ -45,7 +47,7 @@ def _utf8_read_as(codec: str, letters: bool = False):
 
         def run(m: regex.Match) -> str:
             now = m[0]
-            for _ in range(PASSES):
+            while True:  # a text may have been garbled several times; each undoing shortens it
                 raw = now.translate(to)
                 if not _UTF8.fullmatch(raw):
                     break
@@ -108,6 +110,45 @@ CHAINS = {
 }
 
 
+def undone_by(table: dict[int, int], text: str) -> str:
+    """The text with its runs of a learned table's characters read as the UTF-8 bytes that the table gives them."""
+    runs = regex.compile("[" + "".join(regex.escape(chr(c), special_only=False) for c in table) + "]+")
+    to = {c: chr(b) for c, b in table.items()}
+
+    def run(m: regex.Match) -> str:
+        raw = m[0].translate(to)
+        if not _UTF8.fullmatch(raw):
+            return m[0]
+        try:
+            now = raw.encode("latin-1").decode("utf-8")
+        except UnicodeError:
+            return m[0]
+        return now if _ASSIGNED.fullmatch(now) else m[0]
+
+    return runs.sub(run, text)
+
+
+@lru_cache(maxsize=1)
+def single_byte_codecs() -> dict[str, dict[int, int]]:
+    """Every codec of the standard library that reads one byte as one character: characters of bytes 128 to 255 to these."""
+    from encodings.aliases import aliases
+
+    out = {}
+    for name in sorted(set(aliases.values())):
+        try:
+            if all(len(bytes([b]).decode(name)) == 1 and bytes([b]).decode(name) == chr(b) for b in range(32, 127)):
+                out[name] = {ord(c): b for b in range(128, 256) if len(c := bytes([b]).decode(name, "ignore")) == 1 and ord(c) > 127}
+        except (LookupError, UnicodeError, TypeError, AttributeError):
+            continue
+    return {name: t for name, t in out.items() if len(t) > 64}
+
+
+def completed(learned: dict[int, int]) -> dict[int, int]:
+    """A learned table with what all codecs that have the whole of it agree on besides; as it is if none has."""
+    having = [t for t in single_byte_codecs().values() if all(t.get(c) == b for c, b in learned.items())]
+    return learned | {c: b for c, b in having[0].items() if all(t.get(c) == b for t in having)} if having else learned
+
+
 def explanations(text: str) -> dict[str, str]:
     """Every chain that explains the text as garbled, with what it makes of it."""
     if text.isascii():
@@ -120,8 +161,8 @@ def explanations(text: str) -> dict[str, str]:
 
 
 def is_lost(text: str) -> bool:
-    """Whether characters are gone for good: replacement characters, or control characters that no chain explains."""
-    return REPLACEMENT in text or bool(_CONTROLS.search(text))
+    """Whether characters are gone for good: replacement characters, also read as GBK, or control characters."""
+    return REPLACEMENT in text or REPLACED_AS_GBK in text or bool(_CONTROLS.search(text))
 
 
 def is_garbled(text: str) -> bool:

@@ -1,19 +1,24 @@
 """Finding text that was decoded with a wrong encoding, and restoring it (problem 6).
 
-Garbled records are joined with clean near-twins on what is left without non-ASCII characters, in two ways. Twins by
-skeleton have the same ASCII characters throughout; they are aligned character run by character run, the ASCII runs
-being the anchors. Twins by run share one phrase: a run between two ASCII runs that a transformation (`charsets.CHAINS`)
-turns into a run of the same anchors' kinds in clean texts. Each aligned pair votes for the transformations that turn
-the garbled run into the clean one. The votes of all pairs are added up; the transformations that twins bear out are the
-learned mappings, in the order of their votes, and are applied to all garbled records, whether they have twins or not.
+Garbled records are joined with clean near-twins on text stripped of non-ASCII characters. Two texts with the same ASCII
+characters are aligned run by run, the ASCII runs being the anchors. Two kinds of transformations are learned from what
+stands between the same anchors:
 
-At scale: a garbled text meets two clean texts of its skeleton at most, the smallest and the largest, and a run meets the
-distinct runs of clean texts by hash, so nothing that a third of all rows share costs more than another; only the votes,
-a row per transformation, reach the driver.
+- Pairs of encodings (`charsets.CHAINS`): each aligned run that a pair turns into a run of a clean twin is a vote for it.
+  Twins share the whole skeleton, or only the kinds of a run's two anchors. Pairs with SUPPORT votes are learned.
+- Tables of bytes, for encodings that nobody listed: where a run has as many characters as another between the same
+  anchors has bytes of UTF-8, each character votes for the byte at its place. A character's byte is learned if it has
+  SUPPORT votes and is SURE of them; a table that agrees with just one codec of the standard library is completed by it.
+
+The learned transformations are applied to all records, whether they have twins or not.
+
+At scale: votes are counted by joins of hashes (a run's, or a place's in the runs between the same anchors), after both
+sides are aggregated, so no pairs of texts arise, and nothing that a third of all rows share costs more than another.
+Only votes reach the driver: a row per pair of encodings, and at most 256 rows per character that is learned.
 
 Defined results: null, empty and ASCII texts are never garbled; accents, Cyrillic, Greek and Chinese text as such aren't
 either; a text garbled in part counts, its other parts stay; text with lost characters gives '' instead of the original;
-a transformation that no twin bears out isn't applied; repeated rows give one row; texts of any length are read whole;
+a transformation that no twins bear out isn't applied; repeated rows give one row; texts of any length are read whole;
 columns of other names are never read.
 """
 
@@ -26,30 +31,26 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.charsets import CHAINS, REPLACEMENT, explanations, is_lost
+from newsloom.llm.charsets import CHAINS, REPLACED_AS_GBK, REPLACEMENT, completed, explanations, is_lost, undone_by
 from newsloom.tables import written
 
-#: Length from which a skeleton tells a text from others.
-SKELETON = 8
+#: Length from which a skeleton tells a text from others; votes that a transformation takes, and the share of a
+#: character's votes that its byte takes.
+SKELETON, SUPPORT, SURE = 8, 2, 0.8
 _ASCII_RUN = regex.compile(r"[\x21-\x7e]+")
 _SHAPES = regex.compile(r"[0-9]+|[A-Za-z]+")
 
 
-def aligned(garbled: str, clean: str) -> list[tuple[str, str]]:
-    """Pairs of the runs between the ASCII runs of two texts with equal ASCII runs; none if these differ."""
-    if _ASCII_RUN.findall(garbled) != _ASCII_RUN.findall(clean):
-        return []
-    return [(g, c) for g, c in zip(_ASCII_RUN.split(garbled), _ASCII_RUN.split(clean)) if g != c and not (g.isspace() and c.isspace())]
-
-
 def suspects(texts: DataFrame) -> DataFrame:
-    """row_id, field, text of texts that are lost or that a hypothesis explains."""
+    """row_id, field, text, garbled: whether a text is lost or a pair of encodings explains it."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([is_lost(t) or bool(explanations(t)) for t in b.column(2).to_pylist()], pa.bool_()))
+            bad = pa.array([is_lost(t) or bool(explanations(t)) for t in b.column(2).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns, bad], [*b.schema.names, "garbled"])
 
-    return texts.mapInArrow(find, texts.schema)
+    kind = texts.schema["row_id"].dataType.simpleString()
+    return texts.mapInArrow(find, f"row_id {kind}, field string, text string, garbled boolean")
 
 
 def _shape(ascii_run: str) -> str:
@@ -58,71 +59,99 @@ def _shape(ascii_run: str) -> str:
 
 
 def runs(text: str) -> set[str]:
-    """The runs between ASCII runs, with the kinds of their anchors."""
+    """The runs between ASCII runs, each with the kinds of its anchors, and with its place in the text's skeleton."""
     ends = [m.span() for m in _ASCII_RUN.finditer(text)]
-    kinds = ["", *(_shape(text[a:b]) for a, b in ends), ""]
+    words = [text[a:b] for a, b in ends]
+    kinds, skeleton = ["", *map(_shape, words), ""], "\n".join(words)
     out, at = set(), 0
     for k, (a, b) in enumerate([*ends, (len(text), len(text))]):
         if not (run := text[at:a].strip()).isascii():
             out.add(f"{kinds[k][-1:]}{run}{kinds[k + 1][:1]}")
+            if len(skeleton) >= SKELETON:
+                out.add(f"{skeleton}\n{k}\n{run}")
         at = b
     return out
 
 
-def _exploded(texts: DataFrame, schema: str, of) -> DataFrame:  # type: ignore[no-untyped-def]
-    """Rows (chain, run) or (run) of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_pylist([r for t in b.column(0).to_pylist() for r in of(t)], pa.schema([(c.split()[0], pa.string()) for c in schema.split(", ")]))
-
-    return texts.select("text").mapInArrow(run, schema)
-
-
 def _undone(text: str) -> list[dict[str, str]]:
     own = runs(text)
     return [{"chain": name, "run": r} for name, back in explanations(text).items() for r in runs(back) - own]
 
 
-def votes(garbled: DataFrame, clean: DataFrame) -> DataFrame:
-    """chain, votes: pairs of aligned runs of twins that a transformation explains."""
-    skeleton = F.lower(F.regexp_replace("text", "[^a-zA-Z0-9]", ""))
-    whole = garbled.filter(~F.col("text").contains(REPLACEMENT))
-    twins = clean.select(skeleton.alias("skeleton"), "text").filter(F.length("skeleton") >= SKELETON)
-    twins = twins.groupBy("skeleton").agg(F.min("text").alias("low"), F.max("text").alias("high"))
-    pairs = whole.select(skeleton.alias("skeleton"), "text").join(twins, "skeleton").select("text", "low", "high")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _exploded(texts: DataFrame, names: list[str], of) -> DataFrame:  # type: ignore[no-untyped-def]
+    """String rows of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            count = dict.fromkeys(CHAINS, 0)
-            for text, *clean_texts in zip(*(c.to_pylist() for c in b.columns)):
-                for twin in set(clean_texts):
-                    for g, c in aligned(text, twin):
-                        for name, undo in CHAINS.items():
-                            count[name] += undo(g) == c
-            yield pa.RecordBatch.from_arrays([pa.array(list(CHAINS)), pa.array(list(count.values()))], ["chain", "votes"])
+            yield pa.RecordBatch.from_pylist([r for t in b.column(0).to_pylist() for r in of(t)], pa.schema([(c, pa.string()) for c in names]))
 
-    by_skeleton = pairs.mapInArrow(judge, "chain string, votes long")
-    ours = _exploded(whole, "chain string, run string", _undone).select("chain", F.xxhash64("run").alias("h"))
-    theirs = _exploded(clean, "run string", lambda t: [{"run": r} for r in runs(t)]).select(F.xxhash64("run").alias("h")).distinct()
-    by_run = ours.groupBy("chain", "h").agg(F.count("*").alias("votes")).join(theirs, "h", "left_semi").select("chain", "votes")
-    return by_skeleton.unionByName(by_run).groupBy("chain").agg(F.sum("votes").alias("votes"))
+    return texts.select("text").mapInArrow(run, ", ".join(f"{c} string" for c in names))
+
+
+def votes(garbled: DataFrame, clean: DataFrame) -> DataFrame:
+    """chain, votes: runs that a pair of encodings turns into runs of clean texts between the same anchors."""
+    ours = _exploded(garbled, ["chain", "run"], _undone).select("chain", F.xxhash64("run").alias("h"))
+    theirs = _exploded(clean, ["run"], lambda t: [{"run": r} for r in runs(t)]).select(F.xxhash64("run").alias("h")).distinct()
+    return ours.groupBy("chain", "h").agg(F.count("*").alias("n")).join(theirs, "h", "left_semi").groupBy("chain").agg(F.sum("n").alias("votes"))
 
 
 def learned(garbled: DataFrame, clean: DataFrame) -> list[str]:
-    """The transformations to apply, best borne out first."""
+    """The pairs of encodings to apply, best borne out first."""
     order = {name: i for i, name in enumerate(CHAINS)}
-    rows = [r for r in votes(garbled, clean).collect() if r["votes"] > 0]
+    rows = [r for r in votes(garbled, clean).collect() if r["votes"] >= SUPPORT]
     return [r["chain"] for r in sorted(rows, key=lambda r: (-r["votes"], order[r["chain"]]))]
 
 
-def restore(text: str, chains: list[str]) -> str | None:
+def byte_votes(texts: DataFrame) -> DataFrame:
+    """code, byte, n: how often a character stands where a run between the same anchors has a byte of UTF-8."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, places, codes, sides = [], [], [], []
+            for t in b.column(0).to_pylist():
+                words = _ASCII_RUN.findall(t)
+                skeleton = "\n".join(words)
+                if len(skeleton) < SKELETON:
+                    continue
+                for k, run in enumerate(_ASCII_RUN.split(t)):
+                    run = run.strip()
+                    if not run or any(c < "\x80" for c in run):
+                        continue
+                    raw = run.encode("utf-8", "surrogatepass")
+                    for side, values in ((0, list(map(ord, run))), (1, raw)):
+                        keys += [f"{skeleton}\n{k}\n{len(values)}"] * len(values)
+                        places += range(len(values))
+                        codes += values
+                        sides += [side] * len(values)
+            columns = [pa.array(keys, pa.string()), pa.array(places, pa.int32()), pa.array(codes, pa.int32()), pa.array(sides, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "place", "code", "side"])
+
+    seen = texts.select("text").distinct().mapInArrow(places, "key string, place int, code int, side int")
+    seen = seen.select(F.xxhash64("key", "place").alias("h"), "code", "side").groupBy("h", "code", "side").agg(F.count("*").alias("n"))
+    ours, theirs = seen.filter("side = 0").select("h", "code", "n"), seen.filter("side = 1").select("h", F.col("code").alias("byte"), F.col("n").alias("m"))
+    return ours.join(theirs, "h").groupBy("code", "byte").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+
+
+def learned_table(texts: DataFrame) -> dict[int, int]:
+    """Characters to bytes, learned from twins; completed by the codec that has them."""
+    best = byte_votes(texts).groupBy("code").agg(F.max_by("byte", F.struct("n", "byte")).alias("byte"), F.max("n").alias("n"), F.sum("n").alias("all"))
+    rows = best.filter((F.col("n") >= SUPPORT) & (F.col("n") >= SURE * F.col("all"))).collect()
+    table = {r["code"]: r["byte"] for r in rows}
+    # a table of UTF-8 has bytes that begin a character and bytes that go on
+    if not any(b >= 0xC2 for b in table.values()) or not any(b < 0xC0 for b in table.values()):
+        return {}
+    return completed(table)
+
+
+def restore(text: str, chains: list[str], table: dict[int, int] | None = None) -> str | None:
     """The original of a garbled text, '' if characters are lost, None if no transformation applies."""
-    if REPLACEMENT in text:
+    if REPLACEMENT in text or REPLACED_AS_GBK in text:
         return ""
     for name in chains:
         if (back := CHAINS[name](text)) != text:
             return "" if is_lost(back) else back
+    if table and (back := undone_by(table, text)) != text:
+        return "" if is_lost(back) else back
     return "" if is_lost(text) else None
 
 
@@ -130,12 +159,16 @@ def restored(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """row_id, field, restored: every garbled value of the fields with its original, '' where that is lost."""
     stack = ", ".join(f"'{f}', `{f}`" for f in fields)
     texts = df.select(F.col(id_col).alias("row_id"), F.expr(f"stack({len(fields)}, {stack}) AS (field, text)")).filter(F.col("text").rlike(r"[^\x00-\x7f]"))
-    garbled = written(suspects(texts).dropDuplicates(["row_id", "field", "text"]), "garbled")
-    clean = texts.filter(~F.col("text").rlike(r"[\x80-\x9f\x{fffd}]"))
-    chains = learned(garbled, clean)
+    marked = written(suspects(texts).dropDuplicates(["row_id", "field", "text"]), "garbled")
+    garbled, others = marked.filter("garbled"), marked.filter("NOT garbled")
+    chains = learned(garbled, others)
+    table = learned_table(others)
 
     @F.pandas_udf("string")
     def undo(column):  # type: ignore[no-untyped-def]
-        return column.map(lambda t: restore(t, chains))
+        return column.map(lambda t: restore(t, chains, table))
 
-    return garbled.select("row_id", "field", undo("text").alias("restored")).filter("restored IS NOT NULL").dropDuplicates()
+    found = garbled.select("row_id", "field", undo("text").alias("restored"))
+    if table:
+        found = found.unionByName(others.select("row_id", "field", undo("text").alias("restored")))
+    return found.filter("restored IS NOT NULL").dropDuplicates()

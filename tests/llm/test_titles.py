@@ -94,6 +94,38 @@ def test_restored(spark):
     assert restored(df.limit(0), "id", ["title"]).count() == 0
 
 
+@pytest.mark.parametrize("codec", ["mac_roman", "cp437", "koi8_r", "own"])
+def test_encodings_that_nobody_listed(spark, codec):
+    rng = random.Random(codec)
+    own = rng.sample([chr(c) for c in range(0x2500, 0x2580)], 128)  # no codec has these
+    wrong = lambda t: "".join(chr(b) if b < 128 else own[b - 128] if codec == "own" else bytes([b]).decode(codec, "replace") for b in t.encode())
+    words = ["Händler", "größer", "Café", "résumé", "niño", "Łódź", "東京", "营收", "Ελλάδα"]
+    rows, want = [], {}
+    for i in range(240):
+        text = f"Report {i} of {rng.choice(words)} and {rng.choice(words)} in Kordenbrook"
+        if "�" in (bad := wrong(text)):
+            bad = text
+        rows.append((2 * i, text, None))
+        if i % 2 and bad != text:
+            rows.append((2 * i + 1, bad, "x"))
+            want[2 * i + 1, "title"] = text
+    # no twin of these: what was learned restores them
+    for i in range(1000, 1040):
+        text = f"{rng.choice(words)} ohne Zwilling {i * 7}"
+        if "�" not in (bad := wrong(text)):
+            rows.append((i, bad, None))
+            want[i, "title"] = text
+    df = spark.createDataFrame(rows, "id long, title string, summary string")
+    got = {(r.row_id, r.field): r.restored for r in restored(df, "id", ["title", "summary"]).collect()}
+    wrongly = {k: (v, want.get(k)) for k, v in got.items() if want.get(k) != v}
+    assert not wrongly and len(got) >= 0.95 * len(want) > 60
+
+
+def test_lost_characters_read_as_gbk(spark):
+    df = spark.createDataFrame([(1, "淞菱虹集团与锟斤拷锟斤拷裁员2676人", None)], "id long, title string, summary string")
+    assert [tuple(r) for r in restored(df, "id", ["title"]).collect()] == [(1, "title", "")]
+
+
 def _titles(rng, n):
     words = ["霖羲蓓智造", "三季度撤回传感器", "弘荻市方面跌破", "Wortkurkos Bank drops", "ferry in Mosbromzond", "loss of", "首日售出", "回应"]
     out = []
