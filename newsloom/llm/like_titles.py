@@ -190,7 +190,8 @@ def like_links(reps: DataFrame, texts: DataFrame, n: int, total: int, threshold:
 def like_pairs(keyed: DataFrame, n: int, total: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """tbl, id_a, id_b: all pairs of ids with like titles, once, id_a smaller; the links of classes spread over their members."""
     copies = written(classes(keyed), "copies")
-    reps = keyed.join(copies.select("tbl", F.col("member").alias("id")), ["tbl", "id"], "left_anti")
+    # an outer join stays above the removal of redelivered rows, whose exchange the verification reads as well
+    reps = keyed.join(copies.select("tbl", F.col("member").alias("id"), "rep"), ["tbl", "id"], "left").filter("rep IS NULL").drop("rep")
     across = written(like_links(reps, keyed, n, n if total is None else total, threshold), "like-links")
 
     def spread(df: DataFrame, col: str) -> DataFrame:
