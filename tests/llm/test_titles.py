@@ -20,7 +20,7 @@ PLAIN = [
 ]
 ODD = {
     "Ｋｅｎｄ Ｂａｎｋ": "Kend Bank", "Café Nëw": "Café Nëw", "a b c d": "a b c d", "E​R-56⁠­x﻿": "ER-56x", "机器⼈⻋": "机器人车", "proﬁt": "profit",
-    "Νр‑422X": "Hp-422X".replace("H", "N"), "Βх6288Ѕ型": "Bx6288S型", "fіles mоdel": "files model", "𝐀bc": "Abc", "股价‍涨": "股价涨", "Ѕ467裁员": "S467裁员",
+    "ℎello Ⅷ": "hello VIII", "ɡoogle": "google", "пaспорт": "паспорт", "ｶﾞｽ ｅ́": "ガス é", "\u1100\u1161\u11a8": "\uac01", "Ditha\u2060\u030aq": "Ditháq".replace("á", "å"), "Νр‑422X": "Hp-422X".replace("H", "N"), "Βх6288Ѕ型": "Bx6288S型", "fіles mоdel": "files model", "𝐀bc": "Abc", "股价‍涨": "股价涨", "Ѕ467裁员": "S467裁员",
 }
 
 
@@ -38,6 +38,21 @@ def test_mapping_is_conflict_free():
     assert len(build_mapping()) > 300
 
 
+def test_transducer_takes_the_longest_key():
+    from newsloom.llm.lookalikes import Transducer
+
+    t = Transducer({"(": "[", "(c)": "©", "(c) ": "© by ", "x": ""})
+    assert t.run("(c) (c)(b)x") == ("© by ©[b)", True) and t.run("plain") == ("plain", False)
+
+
+def test_rules_that_conflict_are_refused(monkeypatch):
+    from newsloom.llm import lookalikes
+
+    monkeypatch.setitem(lookalikes.TO_LATIN, "а", "Ａ")
+    with pytest.raises(ValueError):
+        build_mapping()
+
+
 def test_odd_rows(spark):
     long = "字" * 200_000 + "​"
     rows = [(i, t) for i, t in enumerate([*PLAIN, *ODD, None, long, "宣å¸ƒå¼•è¿›​"])]
