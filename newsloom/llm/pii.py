@@ -6,7 +6,9 @@ corpus, which Spark scores in rounds: seed patterns, labels that introduce a nam
 trusted; contexts that hold trusted surnames, many different ones and little else, become patterns; surnames that occur
 mostly in such patterns become trusted; and so on. The patterns discover persons of surnames never seen in a label, the
 surnames persons in contexts never seen. Contexts of identity numbers are scored by the share of right check characters
-among what they introduce, so that stock and order numbers that happen to check are no cases.
+among what they introduce, so that stock and order numbers that happen to check are no cases. Where a trusted context stands on
+both sides, or on the left with a sign on the right, persons of surnames that no list has are discovered. How far the name
+of a Chinese address's first part reaches is scored likewise: a form of it is a name if DIFFERENT characters precede it.
 
 At scale: texts are read once; candidates are written, a few dozen bytes each, and the graph is built from counts of
 (context, surname), whose number depends on the language, not on the corpus. Sides of joins are small tables whose size
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.pii_scan import scan
+from newsloom.llm.pii_scan import UNLISTED, scan
 from newsloom.tables import written
 
 #: Seed patterns: labels that introduce a person's name.
@@ -39,6 +41,8 @@ DIFFERENT, PURE, PURE_CHINESE = 4, 0.6, 0.9
 SPREAD = 0.2
 #: Share of a surname's occurrences that must lie in patterns.
 SURE = 0.2
+#: Share of the occurrences of an address's first part that a longer form of its name must have.
+FORM = 0.8
 #: Share of right check characters that makes a context introduce identity numbers.
 CHECKED = 0.5
 KINDS = ("email", "phone", "id", "address", "name")
@@ -93,30 +97,47 @@ def graph(names: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _names(found: DataFrame) -> DataFrame:
-    names = found.filter("kind = 'name'")
-    patterns, surnames = graph(names)
+    """doc_id, kind, start, end, sure: names; sure: what follows is a pattern."""
+    names, listed = found.filter("kind = 'name'"), ~F.col("token").startswith(UNLISTED)
+    patterns, surnames = graph(names.filter(listed))
     marked = names.join(patterns.select(F.col("pattern").alias("l"), F.lit(True).alias("_l")), "l", "left").join(patterns.select(F.col("pattern").alias("r"), F.lit(True).alias("_r")), "r", "left")
     whole = surnames.select(F.col("token").alias("_last"), F.lit(True).alias("_known"))
     marked = marked.withColumn("_last", F.element_at(F.split("token", "-"), -1)).join(whole, "_last", "left")
     chinese = F.col("token").rlike("^[一-鿿]")
     context = F.coalesce(F.col("_l"), F.lit(False)) | F.coalesce(F.col("_r"), F.lit(False))
     known = F.coalesce(F.col("_known"), F.lit(False))
-    return marked.filter(known & (~chinese | context)).select("doc_id", "kind", "start", "end")
+    # what no list has is discovered where patterns stand on both sides, or a sign or the text's end follows one
+    after = F.coalesce(F.col("_r"), F.lit(False)) | ~F.col("r").rlike("^r[一-鿿]")
+    new = ~listed & F.coalesce(F.col("_l"), F.lit(False)) & after
+    return marked.filter((known & (~chinese | context)) | new).select("doc_id", "kind", "start", "end", F.coalesce(F.col("_r"), F.lit(False)).alias("sure"))
+
+
+def _chinese_addresses(found: DataFrame) -> DataFrame:
+    """doc_id, kind, start, end, sure: addresses with the name of their first part as long as the corpus says."""
+    own = found.filter("kind = 'address' AND token = 'zh'")
+    size = F.length("l")
+    forms = own.select("doc_id", "start", "end", "l", "r", F.explode(F.sequence(F.lit(0), size)).alias("x"))
+    forms = forms.withColumn("form", F.concat(F.right("l", F.col("x")), "r")).withColumn("before", F.substr("l", F.length("l") - F.col("x"), F.lit(1)))
+    scores = forms.groupBy("form").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("before") != "", F.col("before"))).alias("k"))
+    scored = forms.join(scores, "form").groupBy("doc_id", "start", "end").agg(F.sort_array(F.collect_list(F.struct("x", "n", "k"))).alias("s"))
+    whole = F.filter("s", lambda f: (f["k"] >= DIFFERENT) & (f["n"] >= FORM * F.element_at("s", 1)["n"]))
+    x = F.coalesce(F.get(whole, F.lit(0))["x"], F.lit(0))
+    return scored.select("doc_id", F.lit("address").alias("kind"), (F.col("start") - x).alias("start"), "end", F.lit(False).alias("sure"))
 
 
 def _identity(found: DataFrame) -> DataFrame:
     ids = found.filter("kind = 'id'")
     contexts = ids.groupBy("l").agg(F.avg((F.col("token") == "good").cast("double")).alias("_right"))
-    return ids.filter("token = 'good'").join(contexts.filter(F.col("_right") >= CHECKED), "l").select("doc_id", "kind", "start", "end")
+    return ids.filter("token = 'good'").join(contexts.filter(F.col("_right") >= CHECKED), "l").select("doc_id", "kind", "start", "end", F.lit(False).alias("sure"))
 
 
 def entities(docs: DataFrame) -> DataFrame:
     """doc_id, kind, start, end: characters from 1, end excluded, of every occurrence in (doc_id, text)."""
     found = written(candidates(docs), "candidates")
-    sure = found.filter("kind IN ('email', 'phone', 'address')").select("doc_id", "kind", "start", "end")
-    spans = sure.unionByName(_names(found)).unionByName(_identity(found))
-    # of spans of one kind that begin alike the longest
-    spans = spans.groupBy("doc_id", "kind", "start").agg(F.max("end").alias("end"))
+    sure = found.filter("kind IN ('email', 'phone') OR kind = 'address' AND token <> 'zh'").select("doc_id", "kind", "start", "end", F.lit(False).alias("sure"))
+    spans = sure.unionByName(_chinese_addresses(found)).unionByName(_names(found)).unionByName(_identity(found))
+    # of spans of one kind that begin alike the one before a pattern, else the longest
+    spans = spans.groupBy("doc_id", "kind", "start").agg(F.max_by("end", F.struct("sure", "end")).alias("end"))
     before = Window.partitionBy("doc_id", "kind").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_upto", F.max("end").over(before)).filter(F.col("_upto").isNull() | (F.col("_upto") <= F.col("start")))
     return spans.select("doc_id", "kind", (F.col("start") + 1).cast("long").alias("start"), (F.col("end") + 1).cast("long").alias("end"))

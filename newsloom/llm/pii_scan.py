@@ -43,7 +43,7 @@ _CHINESE_ID = re.compile(r"\d{6}([\- ]?)(?:19|20)\d{6}\1\d{3}[0-9Xx]")
 _SOCIAL = re.compile(r"\d{3}([\- ])\d{2}\1\d{4}")
 _INSURANCE = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}( ?)\d{2}\1\d{2}\1\d{2}\1[A-D](?![A-Za-z0-9])")
 _CHINESE_STREET = re.compile(r"(?:大道|胡同|路|街|巷|弄)\d{1,5}号(?:\d{1,4}(?:栋|幢|号楼|单元))?(?:[一-鿿]{2,4}(?:大厦|广场|小区)\d{0,3}(?:层|楼)?)?(?:\d{1,4}(?:室|层|楼))?")
-#: Signs of areas around a street, inner ones first; each has a name of two characters before it.
+#: Signs of areas around a street, inner ones first; each has a name before it.
 _AREAS = (("新区", "区", "镇", "乡", "县"), ("市", "县", "州"), ("自治区", "省"))
 _ROAD = r"(?:Road|Rd\.?|Street|St\.?|Avenue|Ave\.?|Lane|Ln\.?|Court|Ct\.?|Drive|Boulevard|Blvd\.?|Way|Place|Square|Terrace|Crescent)(?![A-Za-z])"
 _ENGLISH_ADDRESS = re.compile(rf"(?<![0-9A-Za-z.,\-/])\d{{1,5}}[A-Za-z]? (?:[A-Z][\w'’\-]* ){{1,3}}{_ROAD}(?:,? (?:Apt|Suite|Unit|Flat)\.? \d+[A-Z]?)?(?:, [A-Z][a-z]+)?")
@@ -54,10 +54,18 @@ _STREETS = tuple(f"{w} " for w in "straße strasse str. gasse platz allee weg ri
 _CAPITAL = re.compile(r"(?<![\w@.\-])[A-ZÄÖÜÀ-Ý](?:[\w’']+(?:-[A-ZÄÖÜ][\w’']+)*|\.)")
 _DIGIT = re.compile("[1-9]")
 _TWO = re.compile("[一-鿿]{2}")
-_IDEOGRAPH = re.compile("[一-鿿]")
+_IDEOGRAPH, _IDEOGRAPHS = re.compile("[一-鿿]"), re.compile("[一-鿿]+")
+#: Characters of a street's or area's name at most.
+MOST_NAME = 6
+#: Characters after which a name may begin whatever its first character: the ends of labels and of callings.
+_LABELS = re.compile("(?:(?:系人|编辑|供图|摄影|作者|记者|实习生|通讯员|负责人|主任|教授|发言人)[：: ]?)(?=[一-鿿]{2})")
 _CHINESE_NAME = re.compile(f"(?:{'|'.join(COMPOUND)}|[{SURNAMES}])(?=[一-鿿])")
 
 
+#: Begin of the token of a name whose surname isn't listed.
+UNLISTED = "?"
+
+
 class Candidate(NamedTuple):
     """kind, character positions from 1 (end excluded), left and right context, what the graph knows the instance by."""
 
@@ -103,18 +111,41 @@ def _numbers(t: str, masked: str) -> Iterator[Candidate]:
         yield Candidate("id", *m.span(), masked[max(0, m.start() - 4) : m.start()], "", "good")
 
 
+def _area(t: str, end: int, signs: tuple[str, ...]) -> int | None:
+    """Where the name of an area whose sign ends at a place begins, as one of two characters; None without one."""
+    for sign in signs:
+        at = end - len(sign)
+        if at >= 2 and t.startswith(sign, at) and _TWO.fullmatch(t, at - 2, at):
+            return at - 2
+    return None
+
+
+def _chinese_addresses(t: str) -> Iterator[Candidate]:
+    """Addresses from a street with a number outwards. The first part's name is read as of two characters; what may belong to
+    it besides comes as left context, its name and sign as right context (`pii` decides by the corpus)."""
+    for m in _CHINESE_STREET.finditer(t):
+        a = m.start() - 2
+        if a < 0 or not _TWO.fullmatch(t, a, a + 2):
+            continue
+        sign, inner = m.start(), _AREAS[0] + _AREAS[1]
+        if _area(t, a, inner) is None:
+            # a longer name of the street, if an area ends where it begins
+            longer = (m.start() - n for n in range(3, MOST_NAME + 1) if m.start() >= n and _IDEOGRAPHS.fullmatch(t, m.start() - n, m.start()))
+            a = next((x for x in longer if _area(t, x, inner) is not None), a)
+        for signs in _AREAS:
+            if (outer := _area(t, a, signs)) is not None:
+                sign, a = outer + 2, outer
+        left = a
+        while left > 0 and a - left < MOST_NAME - 2 and _IDEOGRAPH.match(t, left - 1):
+            left -= 1
+        if a - left < MOST_NAME - 2 and t[left - 1 : left] in ("：", ":"):
+            a = left  # all that follows a label
+        yield Candidate("address", a, m.end(), t[left:a], t[a : sign + 1], "zh")
+
+
 def _addresses(t: str) -> Iterator[Candidate]:
     if "号" in t:
-        for m in _CHINESE_STREET.finditer(t):
-            a = m.start() - 2
-            if a < 0 or not _TWO.fullmatch(t, a, a + 2):
-                continue
-            for signs in _AREAS:
-                for sign in signs:
-                    if a >= len(sign) + 2 and t.startswith(sign, a - len(sign)) and _TWO.fullmatch(t, a - len(sign) - 2, a - len(sign)):
-                        a -= len(sign) + 2
-                        break
-            yield Candidate("address", a, m.end(), t[max(0, a - 2) : a], "", "zh")
+        yield from _chinese_addresses(t)
     if any(w in t for w in _ROADS):
         for m in _ENGLISH_ADDRESS.finditer(t):
             yield Candidate("address", *m.span(), "", "", "en")
@@ -155,6 +186,13 @@ def _chinese_names(t: str, masked: str) -> Iterator[tuple]:
         if "一" <= t[b + 1 : b + 2] <= "鿿":
             yield "name", a, b + 2, left, "r" + masked[b + 2 : b + 5], token
         yield "name", a, b + 1, left, "r" + masked[b + 1 : b + 4], token
+    for m in _LABELS.finditer(t):
+        a = m.end()
+        if not _CHINESE_NAME.match(t, a):
+            # no listed surname: the token says so, and only trusted contexts on both sides make it a name
+            for b in (a + 2, a + 3):
+                if _IDEOGRAPHS.fullmatch(t, a, b):
+                    yield "name", a, b, "l" + masked[a - 3 if a > 3 else 0 : a], "r" + masked[b : b + 3], UNLISTED + t[a]
 
 
 def scan(text: str) -> list[tuple]:

@@ -106,6 +106,40 @@ FOUND = [
     ("phone 07700 900295.", "phone", "07700 900295"), ("phone 303.555.0111.", "phone", "303.555.0111"), ("号码：11010519491231002X，", "id", "11010519491231002X"), ("number 928-22-7279 and", "id", "928-22-7279"), ("as QQ 56 24 54 A.", "id", "QQ 56 24 54 A"),
     ("他家住言溯区枫琨巷577号，", "address", "言溯区枫琨巷577号"), ("sent to 2563 Vangeth Avenue, Apt 20C.", "address", "2563 Vangeth Avenue, Apt 20C"), ("lautet Mühlenstraße 143, 94664 Rind.", "address", "Mühlenstraße 143, 94664 Rind"),
 ]
+LONG_NAMES = [
+    ("寄往北京市海淀区中关村大街27号。", "海淀区中关村大街27号"), ("地址：呼和浩特市赛罕区大学西街235号，", "呼和浩特市赛罕区大学西街235号"), ("住址：苏尼特左旗县满都拉图镇巴彦淖尔路8号", "满都拉图镇巴彦淖尔路8号"),
+]
+
+
+@pytest.mark.parametrize(("text", "span"), LONG_NAMES)
+def test_streets_with_long_names(text, span):
+    (got,) = [c for c in scan(text) if c[0] == "address"]
+    assert span in text[got[1] - len(got[3]) : got[2]] and text[: got[1]].endswith(got[3]) and text[got[1] : got[2]].endswith("号")
+
+
+def test_what_no_list_has_is_discovered(spark):
+    rng = random.Random(7)
+    surnames, given, unlisted = "王李张刘陈赵周韩", "淞桉楠澜", "禤仝逄蹇"
+    rows, names, areas = [], set(), set()
+    for i in range(600):
+        new = i % 10 == 0
+        n = (rng.choice(unlisted) if new else rng.choice(surnames)) + "".join(rng.choice(given) for _ in range(rng.choice((1, 2))))
+        before, after = rng.choice([("责任编辑：", "，审校无。"), ("联系人：", "，电话无。"), ("本报记者 ", " 报道了此事。")])
+        text = f"第{i}期。{before}{n}{after}"
+        if new:
+            names.add((i, text.index(n) + 1, text.index(n) + len(n) + 1))
+        if i % 3 == 0:
+            town = rng.choice(["呼和浩特市", "齐齐哈尔市", "攀枝花市"])
+            text += f"{rng.choice(['仓库在', '他住', '样品寄往', '门店设于', '总部位于', '展厅靠近'])}{town}赛罕区大学西街{i + 1}号。"
+            areas.add((i, text.index(town) + 1))
+        rows.append((i, text))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.kind, r.start, r.end) for r in pii.entities(df).collect()]
+    found = {(d, a, b) for d, k, a, b in got if k == "name"}
+    assert names <= found and len([1 for _, k, _, _ in got if k == "name"]) == 600
+    assert {(d, a) for d, k, a, _ in got if k == "address"} == areas
+
+
 NOT_FOUND = ["订单编号414291907416，", "订单编号001711108050，", "代码603432在", "版本号3.58.980-rc", "关注账号@randfar获取", "met @ 3 pm", "Reference 47343-0250844 was", "Lot 38-413-25276 was", "Vorgang 496/5181 ist", "Ticket no. 4651-2077", "纶赫路与恒翰街的交叉口", "87,771", ""]
 
 
