@@ -109,3 +109,26 @@ def positive(value: Column) -> Column:
     """A whole number over zero, or null."""
     number = value.try_cast("int")
     return F.when(number > 0, number)
+
+
+def iso_time(value: Column, day: Column, clock: Column) -> Column:
+    """An ISO date-time, its zone dropped and not converted; a clock time on a day where there is none."""
+    plain = F.regexp_replace(value, r"(?:Z|[+-]\d{2}:?\d{2})$", "")
+    iso = plain.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?$")
+    return F.coalesce(F.when(iso, plain.try_cast("timestamp_ntz")), crawl_time(day, clock))
+
+
+def zone_day(instant: Column, zone: Column, default: str = "Asia/Shanghai") -> Column:
+    """The date that a named zone has at an instant in UTC."""
+    return F.convert_timezone(F.lit("UTC"), F.coalesce(zone, F.lit(default)), instant.cast("timestamp_ntz")).cast("date")
+
+
+def change_class(change: Column, least: float = 0.0001) -> Column:
+    """up, down or flat; flat without a number."""
+    return F.when(change > least, "up").when(change < -least, "down").otherwise("flat")
+
+
+def signed(change: Column, digits: int = 2) -> Column:
+    """A number with its sign and so many digits; a dash without one."""
+    size = F.format_number(F.abs(change), digits)
+    return F.coalesce(F.concat(F.when(change > 0, "+").when(change < 0, "-").otherwise(""), size), F.lit("-"))

@@ -91,4 +91,31 @@ DEFAULT_WEIGHT, DEFAULT_TRUST = 8, 50
 TITLE_NOISE, FEED_NOISE = ("热搜", "最新", "突发", "刚刚", "详情", "全文"), ("图文", "视频", "详情", "全文", "最新")
 TITLE_SIGNS = r"#【】\[\]（）()《》“”\"'：:，,。.!！?？、\-_/|"
 MOJIBAKE_SIGNS = "ÃÂâåäæçèéœ‰º¤¥"
+#: id -> tier, type, weight, trust.
+SOURCE_PROFILES = {
+    "thepaper": ("权威媒体", "综合新闻", 16, 82),
+    "ifeng": ("权威媒体", "综合新闻", 12, 72),
+    "wallstreetcn-hot": ("财经专业源", "财经市场", 17, 84),
+    "cls-hot": ("财经专业源", "财经市场", 16, 82),
+    "sina-finance": ("财经专业源", "财经市场", 14, 76),
+    "xueqiu-hotstock": ("市场热榜", "财经市场", 9, 62),
+    "baidu": ("综合热榜", "综合热榜", 10, 58),
+    "toutiao": ("综合热榜", "综合热榜", 10, 58),
+    "weibo": ("社交热榜", "社交网络", 8, 46),
+    "zhihu": ("社区讨论", "社区问答", 8, 54),
+    "bilibili-hot-search": ("娱乐社区", "视频社区", 6, 44),
+    "douyin": ("娱乐社区", "短视频", 6, 42),
+}
+DEFAULT_TIER, DEFAULT_TYPE = "普通来源", "综合来源"
+SOURCE_HINTS = {"wallstreetcn-hot": "finance", "cls-hot": "finance", "sina-finance": "finance", "xueqiu-hotstock": "finance"}
+#: Weights of the digest.
+SOURCE_WEIGHTS = {
+    "thepaper": 16, "wallstreetcn-hot": 15, "cls-hot": 15, "sina-finance": 13, "ifeng": 12, "baidu": 12,
+    "toutiao": 11, "weibo": 11, "zhihu": 10, "xueqiu-hotstock": 9, "bilibili-hot-search": 8, "douyin": 8,
+}
+CATEGORY_LABELS = {
+    "policy": "时政", "international": "国际", "military": "军事", "finance": "财经", "tech": "科技",
+    "society": "社会", "entertainment": "文娱", "sports": "体育", "general": "综合",
+}
+TREND_STATES = ("升温", "持续", "扩散", "新近")
 # ---- end of the fixed values ------------------------------------------------------------------------------------------

@@ -222,3 +222,75 @@ walk AS (
     FROM walk w JOIN names s ON s.i = w.turn % s.n + 1 WHERE w.pos < 120 AND w.turn < 120 * s.n))
 SELECT pos, source, item_id, seen[pos] AS key FROM walk WHERE item_id IS NOT NULL""",
 }
+
+
+def _terms(c: str) -> str:
+    return f"least(20, 3 * {_hits(c, lexicon.DIGEST_IMPORTANT)})"
+
+
+def _shown_state(up: str, days: str, sources: str) -> str:
+    a, b, c, d = lexicon.TREND_STATES
+    return f"CASE WHEN {up} THEN '{a}' WHEN {days} >= 3 THEN '{b}' WHEN {sources} >= 3 THEN '{c}' ELSE '{d}' END"
+
+
+_PROFILES = "prof AS (SELECT id AS source_id, tier, type, weight, trust, hint, dw FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM platforms) JOIN (VALUES " + ", ".join(
+    f"({i}, '{tier}', '{kind}', {weight}, {trust}, {_q(lexicon.SOURCE_HINTS[n]) if n in lexicon.SOURCE_HINTS else 'NULL'}, {lexicon.SOURCE_WEIGHTS[n]})" for i, (n, (tier, kind, weight, trust)) in enumerate(lexicon.SOURCE_PROFILES.items())
+) + ") v(k, tier, type, weight, trust, hint, dw) USING (k))"
+_SUMMARY = _trim(f"regexp_replace(coalesce(summary, ''), {_q(_S + '+')}, ' ', 'g')")
+_DIGEST = f"""{_ITEMS}, {_PROFILES},
+di AS (SELECT item_id, i.date, i.kind, i.source_id, i.source_name, i.title, i.url, {_SUMMARY} AS whole, i.count, i.best_rank,
+    round(CAST(CASE WHEN i.kind = 'rss' THEN 20 + coalesce(dw, 8) + CASE WHEN contains(coalesce(published_at, ''), CAST(i.date AS VARCHAR)) THEN 8 ELSE 0 END + {_terms('i.title')}
+      ELSE {_rank('i.best_rank', '68.0')} + coalesce(dw, 8) + least(28.0, ln(1 + i.count) * 8) END AS DOUBLE), 4) AS score
+  FROM items i JOIN latest l USING (item_id) LEFT JOIN prof p ON p.source_id = i.source_id),
+dg AS (SELECT * EXCLUDE (whole), CASE WHEN length(whole) > 180 THEN regexp_replace(substr(whole, 1, 180), {_q(_S + '+$')}, '') || '...' ELSE whole END AS summary FROM di)"""
+_TITLE = "title"
+
+SQL |= {
+    "profiled_items": f"""WITH {_ITEMS}, {_PROFILES}, j AS (SELECT i.item_id, i.title, i.count, i.best_rank, coalesce(p.tier, '{lexicon.DEFAULT_TIER}') AS tier, coalesce(p.type, '{lexicon.DEFAULT_TYPE}') AS type,
+    coalesce(p.weight, {lexicon.DEFAULT_WEIGHT}) AS weight, coalesce(p.trust, {lexicon.DEFAULT_TRUST}) AS trust FROM items i LEFT JOIN prof p USING (source_id))
+SELECT item_id, tier, type, weight, trust, round(weight + {_rank('best_rank', '56.0')} + least(18.0, ln(1 + count) * 5) + trust / 10 + ({_important('title')} - {_water('title')} * 0.8 - CASE WHEN {_digest('title')} THEN 20 ELSE 0 END), 4) AS score FROM j""",
+    "category_votes": f"""WITH {_ROLL}, {_PROFILES},
+ranked AS (SELECT ei.*, p.hint, row_number() OVER (PARTITION BY event_key ORDER BY score DESC, item_id) AS k FROM ei LEFT JOIN prof p USING (source_id) QUALIFY k <= 16),
+once AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY event_key, title_key ORDER BY k) = 1),
+sums AS (SELECT event_key, {', '.join(f'round(sum({_points(_TITLE, c)} * (1.0 + least(2.2, greatest(0.0, score / 60)))), 6) AS s_{c}, count(*) FILTER (hint = {_q(c)}) AS h_{c}' for c in _CATS)} FROM once GROUP BY 1),
+c AS (SELECT event_key, CASE WHEN greatest({', '.join(_points('title', c) for c in _CATS)}) >= 28 THEN {_category('title')} WHEN greatest({', '.join(f's_{c}' for c in _CATS)}) > 0 THEN {_best({c: f's_{c}' for c in _CATS})}
+  ELSE {_best({c: f'h_{c}' for c in _CATS})} END AS category FROM roll JOIN sums USING (event_key))
+SELECT event_key, category, CASE category {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in lexicon.CATEGORY_LABELS.items())} END AS label FROM c""",
+    "feed_scores": f"WITH {_DIGEST} SELECT item_id, kind, score, summary FROM dg",
+    "digest_clusters": f"""WITH {_DIGEST}, k AS (SELECT *, concat_ws('|', CAST(date AS VARCHAR), {_key('title', clean=False)}) AS cluster FROM dg WHERE title <> ''),
+t AS (SELECT *, max(score) OVER (PARTITION BY cluster) AS top FROM k),
+best AS (SELECT cluster, title FROM t WHERE score = top QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY item_id DESC) = 1),
+named AS (SELECT cluster, source_id, min(struct_pack(s := -score, i := item_id)) AS o, arg_max(source_name, struct_pack(s := -score, i := item_id)) AS source_name FROM k GROUP BY 1, 2),
+lab AS (SELECT cluster, count(*) AS sources, string_agg(source_name, ' / ' ORDER BY o) AS source_label FROM named GROUP BY 1),
+agg AS (SELECT cluster, count(*) AS items, CAST(sum(count) AS BIGINT) AS count, max(score) AS score, min(best_rank) AS b, max(best_rank) AS w FROM k GROUP BY 1)
+SELECT cluster, items, count, score, title, sources, source_label, CASE WHEN b IS NULL THEN 'RSS' WHEN b = w THEN CAST(b AS VARCHAR) ELSE b || '-' || w END AS rank_label,
+  round(score + (sources - 1) * 16 + least(24.0, ln(1 + count) * 7) + {_terms('title')}, 4) AS final_score FROM agg JOIN best USING (cluster) JOIN lab USING (cluster)""",
+    "trend_states": f"""WITH {_EVENT_ITEMS}, d AS (SELECT event_key, date, sum(count) AS n FROM ei GROUP BY 1, 2),
+l AS (SELECT *, lag(n) OVER (PARTITION BY event_key ORDER BY date) AS p, count(*) OVER (PARTITION BY event_key) AS days FROM d QUALIFY row_number() OVER (PARTITION BY event_key ORDER BY date DESC) = 1),
+s AS (SELECT event_key, count(DISTINCT source_id) AS sources FROM ei GROUP BY 1)
+SELECT event_key, {_shown_state('n > p', 'days', 'sources')} AS state FROM l JOIN s USING (event_key)""",
+    "source_previews": f"""WITH {_EVENT_ITEMS}, n AS (SELECT event_key, list_sort(list(DISTINCT source_name)) AS l FROM ei GROUP BY 1)
+SELECT event_key, array_to_string(l[1:4], '、') || CASE WHEN len(l) > 4 THEN '等' ELSE '' END AS preview FROM n""",
+    "category_ranks": """WITH e AS (SELECT event_id, category, CASE WHEN score IS NULL OR isnan(score) THEN -1e300 ELSE score END AS s FROM trend_events WHERE event_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY last_seen_at DESC NULLS LAST, CASE WHEN score IS NULL OR isnan(score) THEN -1e300 ELSE score END DESC) = 1),
+c AS (SELECT * FROM e WHERE category IS NOT NULL), r AS (SELECT category, event_id, s FROM c WHERE category <> 'general' UNION ALL SELECT 'all', event_id, s FROM c)
+SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY s DESC, event_id) AS INTEGER) AS pos, event_id FROM r QUALIFY pos <= 50""",
+    "month_counts": f"WITH {_ITEMS}, d AS (SELECT DISTINCT date FROM items WHERE date IS NOT NULL) SELECT date, strftime(date, '%Y年%m月') AS month, count(*) OVER (PARTITION BY strftime(date, '%Y年%m月')) AS n, strftime(date, '%m月%d日') AS day FROM d",
+    "archive_titles": f"""WITH {_ROLL}, b AS (SELECT last_date, title FROM roll WHERE items > 1 QUALIFY row_number() OVER (PARTITION BY last_date ORDER BY max_score DESC, event_key) = 1),
+d AS (SELECT crawl_date AS date FROM news_items WHERE crawl_date IS NOT NULL UNION SELECT crawl_date FROM scored_items WHERE crawl_date IS NOT NULL)
+SELECT date, coalesce(title, '暂无数据') AS title FROM d LEFT JOIN b ON b.last_date = d.date""",
+    "iso_times": f"""WITH r AS (SELECT *, regexp_replace(published_at, '(?:Z|[+-]\d{{2}}:?\d{{2}})$', '') AS p FROM scored_items WHERE item_id IS NOT NULL)
+SELECT DISTINCT item_id, coalesce(CASE WHEN regexp_matches(p, '^\d{{4}}-\d{{2}}-\d{{2}}(?:[T ]\d{{2}}:\d{{2}}(?::\d{{2}}(?:\.\d{{1,6}})?)?)?$') THEN try_cast(CASE WHEN regexp_matches(p, '[T ]\d{{2}}:\d{{2}}$') THEN p || ':00' ELSE p END AS TIMESTAMP) END, {_clock('crawl_date', 'first_time')}) AS at FROM r""",
+    "zone_days": f"""WITH {_FEED} SELECT CAST((received_at AT TIME ZONE 'UTC') AT TIME ZONE coalesce(r.tz, 'Asia/Shanghai') AS DATE) AS day, count(*) AS n FROM f LEFT JOIN rss_feeds r ON r.id = f.source GROUP BY 1""",
+    "change_labels": f"""WITH {_HISTORY}, c AS (SELECT user_id, pos, round(round(value - lag(value) OVER (PARTITION BY user_id ORDER BY time, value), 4), 4) AS c FROM q)
+SELECT user_id, pos, CASE WHEN c > 0.0001 THEN 'up' WHEN c < -0.0001 THEN 'down' ELSE 'flat' END AS class,
+  coalesce(CASE WHEN c > 0 THEN '+' WHEN c < 0 THEN '-' ELSE '' END || format('{{:,.2f}}', abs(c)), '-') AS label FROM c""",
+    "quotes": """WITH e AS (SELECT event_id, value AS v, event_id % 7 AS m, strftime(ts, '%Y%m%d%H%M%S') AS t FROM events),
+r AS (SELECT *, m < 3 AS stock, m IN (3, 4) AS world FROM e)
+SELECT event_id, CASE WHEN v IS NULL THEN NULL WHEN stock THEN 'n' || event_id WHEN world THEN 'g' || event_id END AS name, CASE WHEN stock OR world THEN v END AS price,
+  CASE WHEN v IS NULL THEN NULL WHEN stock THEN CASE WHEN m = 0 THEN 0.0 ELSE 40.0 END WHEN world THEN 50.0 END AS before,
+  round(CASE WHEN stock THEN v - CASE WHEN m = 0 THEN 0.0 ELSE 40.0 END WHEN world THEN v - 50.0 END, 4) AS change,
+  round(CASE WHEN v IS NULL THEN NULL WHEN stock THEN CASE WHEN m > 0 THEN (v - 40.0) / 40.0 * 100 END WHEN world THEN CASE WHEN event_id IS NOT NULL THEN (v - 50.0) / 50.0 * 100 END END, 4) AS percent,
+  CASE WHEN v IS NULL THEN NULL WHEN stock THEN t WHEN world THEN '2024-01-05 12:00:00' END AS time, CASE WHEN v IS NULL THEN NULL WHEN stock THEN v WHEN world THEN 9.5 END AS high,
+  CASE WHEN m = 6 THEN 'unknown type' WHEN m = 5 THEN 'short payload' WHEN v IS NULL THEN 'no price' END AS error FROM r""",
+}

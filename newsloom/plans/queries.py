@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom import lexicon
 from newsloom.functions import score as S
 from newsloom.functions import text as T
-from newsloom.operators import cluster, events, history, merge, pages, rollup, scan
+from newsloom.operators import cluster, digest, events, history, merge, pages, rollup, scan
 from newsloom.operators.instants import utc_instants
 from newsloom.tables import table, written
 
@@ -230,7 +230,8 @@ def source_hotlists(spark: SparkSession, root: str) -> DataFrame:
 
 def summary_cells(spark: SparkSession, root: str) -> DataFrame:
     rows = event_items(spark, root)
-    return rows.agg(F.count_distinct("event_key").alias("events"), F.count("*").alias("items"), F.count_distinct("source_id").alias("sources"), F.count_distinct(S.primary_category(F.col("title"))).alias("categories"))
+    once = rows.groupBy("event_key", "source_id").agg(F.count("*").alias("n"), F.collect_set(S.primary_category(F.col("title"))).alias("c"))
+    return once.agg(F.count_distinct("event_key").alias("events"), F.sum("n").alias("items"), F.count_distinct("source_id").alias("sources"), F.size(F.array_distinct(F.flatten(F.collect_set("c")))).cast("long").alias("categories"))
 
 
 def archive(spark: SparkSession, root: str) -> DataFrame:
@@ -312,6 +313,151 @@ def rss_export(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("entry_id", F.md5(item).alias("md5"))
 
 
+# ---- sources and the digest ----------------------------------------------------------------------------------------------
+def profiles(spark: SparkSession, root: str) -> DataFrame:
+    """source_id, tier, type, weight, trust, hint, digest_weight: the known profiles, given to the tables' sources in order.
+
+    The tables have none of the sources that are profiled by name, so the k-th platform stands for the k-th profile.
+    """
+    known = [(i, name, *lexicon.SOURCE_PROFILES[name], lexicon.SOURCE_HINTS.get(name), lexicon.SOURCE_WEIGHTS[name]) for i, name in enumerate(lexicon.SOURCE_PROFILES)]
+    dim = spark.createDataFrame(known, "k int, profile string, tier string, type string, weight int, trust int, hint string, digest_weight int")
+    # 25 platforms, a fixed dimension
+    placed = table(spark, root, "platforms").select(F.col("id").alias("source_id"), (F.row_number().over(Window.orderBy("id")) - 1).alias("k"))
+    return placed.join(dim, "k").drop("k", "profile")
+
+
+def profiled_items(spark: SparkSession, root: str) -> DataFrame:
+    """Items with the tier, type, weight and trust of their source, and the score that these give."""
+    rows = items(spark, root).drop("score", "trust").join(profiles(spark, root), "source_id", "left")
+    weight, trust = F.coalesce("weight", F.lit(lexicon.DEFAULT_WEIGHT)), F.coalesce("trust", F.lit(lexicon.DEFAULT_TRUST))
+    score = S.item_score(F.col("title"), weight, F.col("count"), F.col("best_rank"), trust)
+    return rows.select("item_id", F.coalesce("tier", F.lit(lexicon.DEFAULT_TIER)).alias("tier"), F.coalesce("type", F.lit(lexicon.DEFAULT_TYPE)).alias("type"), weight.alias("weight"), trust.alias("trust"), F.round(score, 4).alias("score"))
+
+
+def category_votes(spark: SparkSession, root: str) -> DataFrame:
+    """Categories of events with the sources' hints where the wording says nothing."""
+    rows = event_items(spark, root).join(profiles(spark, root).select("source_id", "hint"), "source_id", "left")
+    rows = written(rows, "event-items")
+    found = events.category_vote(rows, events.roll_up(rows), hint=F.col("hint"))
+    return found.select("event_key", "category", digest.looked_up(F.col("category"), lexicon.CATEGORY_LABELS, "综合").alias("label"))
+
+
+def digest_items(spark: SparkSession, root: str) -> DataFrame:
+    """Items as the digest scores them: hot lists by rank and persistence, feeds by source, day and terms."""
+    latest = scan.latest_rows(table(spark, root, "scored_items"), "item_id", [F.col("ingested_at"), F.coalesce(F.nanvl("score", F.lit(None)), F.lit(-1e300))])
+    rows = latest.select("item_id", "kind", "crawl_date", "published_at", "summary").join(items(spark, root).drop("kind", "score"), "item_id").join(profiles(spark, root).select("source_id", "digest_weight"), "source_id", "left")
+    weight = F.coalesce("digest_weight", F.lit(8))
+    score = F.when(F.col("kind") == "rss", digest.feed_score(weight, F.col("published_at"), F.col("crawl_date"), F.col("title"))).otherwise(S.digest_item_score(weight, F.col("count"), F.col("best_rank")))
+    return rows.select(
+        "item_id", "date", "kind", "source_id", "source_name", "title", "url", T.shortened(F.col("summary"), 180).alias("summary"), "count", "best_rank", "first_at", "last_at",
+        F.round(score.cast("double"), 4).alias("score"),
+    )
+
+
+def feed_scores(spark: SparkSession, root: str) -> DataFrame:
+    return digest_items(spark, root).select("item_id", "kind", "score", "summary")
+
+
+_DIGEST = ("items", "count", "score", "title", "sources", "source_label", "rank_label", "final_score")
+
+
+def _digest_rows(rows: DataFrame) -> DataFrame:
+    rolled = digest.cluster_rollup(rows).withColumn("rank_label", digest.rank_label(F.col("best_rank"), F.col("worst_rank")))
+    return rolled.withColumn("final_score", F.round("final_score", 4)).select("cluster", *_DIGEST)
+
+
+def digest_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """The digest's roll-up over each date's items with equal keys."""
+    key = F.concat_ws("|", F.col("date").cast("string"), T.title_key(F.col("title"), clean=False))
+    return _digest_rows(digest_items(spark, root).filter("title <> ''").withColumn("cluster", key))
+
+
+def digest_ranking(spark: SparkSession, root: str) -> DataFrame:
+    """The 50 best clusters of each date, clustered greedily (C2), by final score."""
+    rows = written(digest_items(spark, root).filter("title <> ''"), "digest-items")
+    keyed = rows.select("item_id", T.title_key(F.col("title"), clean=False).alias("key"), F.col("date").cast("string").alias("bucket"), "score")
+    placed = rows.join(cluster.greedy_clusters(keyed, DIGEST).withColumnRenamed("event_id", "cluster"), "item_id")
+    dated = _digest_rows(placed).join(placed.select("cluster", "date").distinct(), "cluster")
+    return rollup.ranked_within(dated, "date", [F.desc("final_score"), "cluster"], 50).select("date", "pos", "cluster", *_DIGEST)
+
+
+def clustered_events(spark: SparkSession, root: str) -> DataFrame:
+    """Events of the greedy clustering (C1), over all dates, with their dimensions, score, category and trend."""
+    placed = cluster_events(spark, root).select("item_id", F.col("event_id").cast("string").alias("event_key"))
+    rows = written(items(spark, root).filter("title <> ''").join(placed, "item_id"), "clustered-items")
+    rolled = written(events.roll_up(rows), "clustered-events")
+    scored = events.event_score(events.dimensions(rows, rolled))
+    return scored.join(events.category_vote(rows, rolled), "event_key").join(digest.trend_states(rows), "event_key").select(
+        "event_key", "items", "title", "sources", "kinds", "dates", "last_date", "occurrences", "water", "score", "category", "state"
+    )
+
+
+def trend_states(spark: SparkSession, root: str) -> DataFrame:
+    return digest.trend_states(event_items(spark, root))
+
+
+def source_previews(spark: SparkSession, root: str) -> DataFrame:
+    return digest.source_preview(event_items(spark, root), "event_key", "source_name")
+
+
+def category_ranks(spark: SparkSession, root: str) -> DataFrame:
+    """Places of events within their category and among all; the general ones have none within."""
+    latest = scan.latest_rows(table(spark, root, "trend_events"), "event_id", [F.col("last_seen_at"), F.coalesce(F.nanvl("score", F.lit(None)), F.lit(-1e300))])
+    rows = latest.filter("category IS NOT NULL").select("event_id", "category", F.coalesce(F.nanvl("score", F.lit(None)), F.lit(-1e300)).alias("score"))
+    shown = rollup.ranked_within(rows.filter("category <> 'general'"), "category", [F.desc("score"), "event_id"], 50)
+    every = rollup.ranked_within(rows.withColumn("category", F.lit("all")), "category", [F.desc("score"), "event_id"], 50)
+    return shown.unionByName(every).select("category", "pos", "event_id")
+
+
+def month_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Each date that has items, its labels, and how many dates its month has."""
+    days = items(spark, root).filter("date IS NOT NULL").select("date").distinct().withColumn("month", F.date_format("date", "yyyy年MM月"))
+    return days.withColumn("n", F.count("*").over(Window.partitionBy("month"))).withColumn("day", F.date_format("date", "MM月dd日"))
+
+
+def archive_titles(spark: SparkSession, root: str) -> DataFrame:
+    """Every date with the title of the best event that ends on it, or a placeholder."""
+    dates = scan.partitions([(table(spark, root, "news_items"), "crawl_date"), (table(spark, root, "scored_items"), "crawl_date")])
+    best = rollup.ranked_within(exact_events(spark, root).filter("items > 1"), "last_date", [F.desc("max_score"), "event_key"], 1)
+    return dates.join(best.select(F.col("last_date").alias("date"), "title"), "date", "left").select("date", F.coalesce("title", F.lit("暂无数据")).alias("title"))
+
+
+def iso_times(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "scored_items").filter("item_id IS NOT NULL").select("item_id", T.iso_time(F.col("published_at"), F.col("crawl_date"), F.col("first_time")).alias("at"))
+    return rows.distinct()
+
+
+def zone_days(spark: SparkSession, root: str) -> DataFrame:
+    """How many entries arrive on each date of their feed's zone."""
+    feeds = table(spark, root, "rss_feeds").select(F.col("id").alias("source"), "tz")
+    rows = scan.latest_rows(table(spark, root, "feed_entries"), "entry_id", [F.col("received_at")]).join(feeds, "source", "left")
+    return rows.groupBy(T.zone_day(F.col("received_at"), F.col("tz")).alias("day")).agg(F.count("*").alias("n"))
+
+
+def change_labels(spark: SparkSession, root: str) -> DataFrame:
+    c = F.round("change", 4)
+    return quote_changes(spark, root).select("user_id", "pos", T.change_class(c).alias("class"), T.signed(c).alias("label"))
+
+
+# ---- quotes --------------------------------------------------------------------------------------------------------------
+def payloads(spark: SparkSession, root: str) -> DataFrame:
+    """event_id, type, raw: payloads as sources send them, made of the events table, some cut and some of no known type."""
+    e = table(spark, root, "events").select("event_id", F.col("value").cast("string").alias("v"), F.pmod("event_id", F.lit(7)).alias("m"), F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyyMMddHHmmss").alias("t"))
+    price = F.coalesce("v", F.lit("-"))
+    stock = [F.lit("1"), F.concat(F.lit("n"), F.col("event_id")), F.lit("c"), price, F.when(F.col("m") == 0, "0").otherwise("40"), F.lit("41"), *[F.lit("0")] * 24, F.col("t"), F.lit(""), F.lit(""), price, F.lit("nan"), F.lit("x"), F.lit("1200"), F.lit("7")]
+    other = [price, F.lit(""), F.lit("0"), F.lit("0"), F.lit("9.5"), F.lit("inf"), F.lit("12:00:00"), F.lit("50"), F.lit("51"), F.lit("0"), F.lit("0"), F.lit("0"), F.lit("2024-01-05"), F.concat(F.lit("g"), F.col("event_id"))]
+    body = F.when(F.col("m") < 3, F.array_join(F.array(*stock), "~")).when(F.col("m") < 5, F.array_join(F.array(*other), ",")).otherwise(F.lit("1~cut"))
+    kind = F.when(F.col("m") < 3, "tencent_stock").when(F.col("m") < 5, "tencent_global").when(F.col("m") == 5, "tencent_stock").otherwise("other")
+    return e.select("event_id", kind.alias("type"), F.concat(F.lit('v_x="'), body, F.lit('";')).alias("raw"))
+
+
+def quotes(spark: SparkSession, root: str) -> DataFrame:
+    """Quotes of the payloads by type, with derived changes; what can't be read has an error instead."""
+    from newsloom.sources.quotes import parsed
+
+    return parsed(payloads(spark, root), "type", "raw").select("event_id", "name", "price", "before", F.round("change", 4).alias("change"), F.round("percent", 4).alias("percent"), "time", "high", "error")
+
+
 # ---- order-dependent folds -----------------------------------------------------------------------------------------------
 def cluster_events(spark: SparkSession, root: str) -> DataFrame:
     """Greedy clustering within buckets over all dates; topics join equals only."""
@@ -359,6 +505,8 @@ QUERIES = {
         event_categories, event_trends, representative_items, top_events, tracks, category_rollup, category_counts, source_rollup, top_sources,
         source_hotlists, summary_cells, archive, month_groups, quote_history, quote_changes, stale_values, sparklines, quote_stream, html_links,
         div_depths, section_dedupe, page_patch, rss_export, cluster_events, cluster_digest, fuzzy_pairs, timeline, round_robin, p5_found,
+        profiled_items, category_votes, feed_scores, digest_clusters, digest_ranking, clustered_events, trend_states, source_previews, category_ranks,
+        month_counts, archive_titles, iso_times, zone_days, change_labels, quotes,
     )
 }
 
