@@ -1,11 +1,20 @@
 """Filling containers of fixed capacity with items (problem 9).
 
 Sizes are whole numbers up to the capacity, so the whole table is known by its histogram: at most `capacity` rows, which
-the driver plans with, whatever the number of items. The planner is bin completion: it takes the largest size left and
-enumerates undominated fillings around it (`completion`), pruned by the waste that is still allowed, with best fit as the
-first incumbent; a filling is used for as many containers as its sizes last. The last containers, where counts are
-small, are packed by branch and bound over the same completions. Items find their containers by their rank within their
-size, which is computed over salted groups, so a size that a third of all items share is spread over many tasks.
+the driver plans with, whatever the number of items. The planner is bin completion by branch and bound. Best fit is the
+incumbent; a plan of as many containers as a lower bound (`bound`) is the best and ends the search at once. Each branch
+fills containers around the largest size left. Two undominated fillings are tried: that of the largest items that fit
+(no item of it can be exchanged for a larger one), and the one with least waste (`completion`). The branches differ in how
+many containers take the first kind before the rest take the second: that saves small items for later containers, at
+the price of waste, so a branch is cut as soon as its waste is more than a better plan than the incumbent may have. A
+filling is used for as many containers as its sizes last. The last containers of a branch, where counts are small, are
+packed by branch and bound over single items.
+
+Finding the best plan is NP-hard, so the search has budgets (NODES, TAIL_NODES, WIDTH, BRANCHES), parameters that bound
+the driver's time; where they run out the incumbent stands, which holds every item and is never worse than best fit.
+
+Items find their containers by their rank within their size, which is computed over salted groups, as many as keep a
+group near GROUP items, so a size that a third of all items share is spread over many tasks.
 
 Defined results: null and zero sizes take no place; an item over the capacity fills containers of its own and its rest
 is an item like others; every other item is in one container, whole; repeated ids are separate items; an empty table
@@ -26,13 +35,14 @@ from pyspark.sql import functions as F
 from newsloom.tables import written
 
 CAPACITY = 2048
-#: Groups that the items of one size are spread over for their ranks.
-SALTS = 64
-#: Fillings looked at for one container, and for the last containers together; the incumbent stands where they run out.
-NODES, TAIL_NODES, TAIL_ITEMS = 4000, 60_000, 48
+#: Items of one size that are ranked together, on average.
+GROUP = 200_000
+#: Budgets of the search: fillings looked at for one container; nodes, items and fillings per node of the last containers;
+#: branches.
+NODES, TAIL_NODES, TAIL_ITEMS, WIDTH, BRANCHES = 4000, 60_000, 48, 64, 32
 
 
-def completion(counts: np.ndarray, room: int, allowed: int | None = None, nodes: int = NODES) -> dict[int, int]:
+def completion(counts: np.ndarray, room: int, nodes: int = NODES) -> dict[int, int]:
     """The filling (size -> number) that leaves least of `room` unused, larger sizes first.
 
     Fillings are enumerated from the largest size down. A filling to which a left item could be added is dominated by
@@ -50,7 +60,7 @@ def completion(counts: np.ndarray, room: int, allowed: int | None = None, nodes:
         if k := min(rest // s, int(left[s])):
             best[s] = k
             rest -= k * s
-    waste = min(rest, room if allowed is None else max(allowed, 0)) if rest == 0 else rest
+    waste = rest
     if waste == 0:
         return best
     order, budget = sizes.tolist(), [nodes]
@@ -106,7 +116,7 @@ def _tail(items: list[int], capacity: int, nodes: int) -> list[list[int]]:
         found: list[tuple[int, tuple[int, ...]]] = []
 
         def go(i: int, r: int, own: tuple[int, ...]) -> None:
-            if budget[0] <= 0 or len(found) >= 64:
+            if budget[0] <= 0 or len(found) >= WIDTH:
                 return
             budget[0] -= 1
             last, more = None, False
@@ -178,21 +188,55 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[i
     return [(n, dict(f)) for fillings in open_.values() for f, n in fillings.items()]
 
 
+def bound(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
+    """Containers that any plan needs: by the sum of sizes, and by sizes over half the capacity, which never share one."""
+    counts = np.zeros(capacity + 1, "int64")
+    for s, n in histogram.items():
+        counts[s] = n
+    number, total = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * np.arange(capacity + 1))])
+    half, best = capacity // 2, 0
+    for least in range(half + 1):
+        # items over capacity - least stand alone, those over half each take a container, the rest from `least` on fill these up
+        big, large = number[-1] - number[capacity - least + 1], number[capacity - least + 1] - number[half + 1]
+        free = large * capacity - (total[capacity - least + 1] - total[half + 1])
+        small = total[half + 1] - total[least]
+        best = max(best, int(big + large + max(0, -(-(small - free) // capacity))))
+    return best
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
-    """(number of containers, their filling) for items of sizes 1 to capacity: bin completion, unless best fit, the
-    incumbent of the whole, needs fewer containers."""
+    """(number of containers, their filling) for items of sizes 1 to capacity."""
     used = lambda p: sum(t for t, _ in p)
-    completed = complete(histogram, capacity)
-    if used(completed) * capacity - sum(s * n for s, n in histogram.items()) < capacity:
-        return completed  # no plan can have fewer
-    return min(completed, best_fit(histogram, capacity), key=used)
+    best, least = best_fit(histogram, capacity), bound(histogram, capacity)
+    seen: dict[int, int] = {}
 
+    def branch(lead: int) -> int:
+        """Containers of the branch with so many leading ones of the first kind; many if it is cut."""
+        nonlocal best
+        if lead not in seen and len(seen) < BRANCHES and used(best) > least:
+            found = complete(histogram, capacity, lead, used(best))
+            seen[lead] = used(found) if found is not None else capacity * used(best)
+            if found is not None and used(found) < used(best):
+                best = found
+        return seen.get(lead, capacity * used(best))
+
+    if histogram and used(best) > least:
+        most = used(best)
+        step = max(1, most // 16)
+        at = min(range(0, most, step), key=branch)
+        while step > 1 and used(best) > least and len(seen) < BRANCHES:
+            step = max(1, step // 2)
+            at = min((max(0, at - step), at, at + step), key=branch)
+    return best
 
-def complete(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
-    """Bin completion over the histogram."""
+
+def complete(histogram: dict[int, int], capacity: int = CAPACITY, lead: int = 0, most: int | None = None) -> list[tuple[int, dict[int, int]]] | None:
+    """A branch: `lead` containers with the largest items that fit, the others with least waste. None if its waste excludes
+    fewer than `most` containers."""
     counts = np.zeros(capacity + 1, "int64")
     for s, n in histogram.items():
         counts[s] += n
+    allowed = None if most is None else (most - 1) * capacity - int((counts * np.arange(capacity + 1)).sum())
     out: list[tuple[int, dict[int, int]]] = []
     top = capacity
     while True:
@@ -200,21 +244,38 @@ def complete(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
             top -= 1
         if not top:
             return out
-        if counts.sum() <= TAIL_ITEMS:
+        if allowed is not None and allowed < 0:
+            return None
+        if not lead and counts.sum() <= TAIL_ITEMS:
             items = np.repeat(np.arange(capacity + 1), counts).tolist()
             for b in _tail(items, capacity, TAIL_NODES):
                 out.append((1, {s: b.count(s) for s in set(b)}))
             return out
         counts[top] -= 1
-        filling = completion(counts, capacity - top)
+        filling = _largest(counts, capacity - top) if lead else completion(counts, capacity - top)
         counts[top] += 1
         filling = {**filling, top: filling.get(top, 0) + 1}
         times = min(int(counts[s]) // k for s, k in filling.items())
+        if lead:
+            times = min(times, lead)
+            lead -= times
         for s, k in filling.items():
             counts[s] -= times * k
+        if allowed is not None:
+            allowed -= times * (capacity - sum(s * k for s, k in filling.items()))
         out.append((times, filling))
 
 
+def _largest(counts: np.ndarray, room: int) -> dict[int, int]:
+    """The filling that takes the largest size that fits, again and again."""
+    out: dict[int, int] = {}
+    for s in np.flatnonzero(counts[: room + 1])[::-1].tolist():
+        if s and (k := min(room // s, int(counts[s]))):
+            out[s] = k
+            room -= k * s
+    return out
+
+
 def _places(packed: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
     """size -> rows (first rank, first container, items of the size in each), by rank."""
     out: dict[int, list[tuple[int, int, int]]] = {}
@@ -235,10 +296,13 @@ def fill(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
     cut = whole.select(id_col, "_n", F.explode(parts).alias("part")).select(
         id_col, "part", (F.col("part") * capacity).alias("start"), F.least(F.lit(capacity), F.col("_n") - F.col("part") * capacity).cast("int").alias("size")
     )
-    cut = written(cut.withColumn("_salt", F.pmod(F.xxhash64(id_col, "part"), F.lit(SALTS)).cast("int")), "parts")
-    groups = cut.groupBy("size", "_salt").agg(F.count("*").alias("_c"))
+    cut = written(cut, "parts")
+    sizes = cut.groupBy("size").agg(F.count("*").alias("_all"))
     # at most capacity rows
-    histogram = {r["size"]: r["n"] for r in groups.groupBy("size").agg(F.sum("_c").alias("n")).collect()}
+    salts = F.broadcast(sizes.select("size", F.ceil(F.col("_all") / GROUP).alias("_salts")))
+    cut = cut.join(salts, "size").withColumn("_salt", F.pmod(F.xxhash64(id_col, "part"), F.col("_salts")).cast("int")).drop("_salts")
+    groups = cut.groupBy("size", "_salt").agg(F.count("*").alias("_c"))
+    histogram = {r["size"]: r["_all"] for r in sizes.collect()}
     places = _places(plan(histogram, capacity))
     before = Window.partitionBy("size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.select("size", "_salt", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import pii
 from newsloom.llm.bpe import PIECES, Bpe
-from newsloom.llm.containers import completion, fill, plan
+from newsloom.llm.containers import best_fit, bound, completion, fill, plan
 from newsloom.llm.pii_scan import right_check, scan
 from newsloom.llm.tokens import VOCABULARY, token_counts, token_ids
 
@@ -56,6 +56,28 @@ def test_completion_is_best():
         assert sum(s * k for s, k in got.items()) == max(reach) and all(k <= counts[s] for s, k in got.items())
 
 
+@pytest.mark.parametrize(("low", "high", "most"), [(500, 900, 0.93), (600, 1100, 0.98), (300, 800, 0.98)])
+def test_plans_better_than_best_fit(low, high, most):
+    rng = random.Random(low)
+    histogram = {}
+    for _ in range(2000):
+        s = rng.randrange(low, high + 1)
+        histogram[s] = histogram.get(s, 0) + 1
+    used = lambda p: sum(t for t, _ in p)
+    packed = plan(histogram)
+    assert bound(histogram) <= used(packed) <= most * used(best_fit(histogram, 2048))
+    held = {}
+    for times, filling in packed:
+        assert sum(s * k for s, k in filling.items()) <= 2048
+        for s, k in filling.items():
+            held[s] = held.get(s, 0) + times * k
+    assert held == histogram
+
+
+def test_bound_counts_items_over_half():
+    assert bound({60: 5, 40: 1}, 100) == 5 and bound({51: 4, 49: 4, 10: 20}, 100) == 6 and bound({}, 100) == 0
+
+
 def test_plan_holds_everything():
     rng = random.Random(9)
     sizes = [rng.randrange(1, 2049) for _ in range(3000)] + [7] * 500
