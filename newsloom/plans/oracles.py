@@ -279,8 +279,8 @@ SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY s DESC,
     "archive_titles": f"""WITH {_ROLL}, b AS (SELECT last_date, title FROM roll WHERE items > 1 QUALIFY row_number() OVER (PARTITION BY last_date ORDER BY max_score DESC, event_key) = 1),
 d AS (SELECT crawl_date AS date FROM news_items WHERE crawl_date IS NOT NULL UNION SELECT crawl_date FROM scored_items WHERE crawl_date IS NOT NULL)
 SELECT date, coalesce(title, '暂无数据') AS title FROM d LEFT JOIN b ON b.last_date = d.date""",
-    "iso_times": f"""WITH r AS (SELECT *, regexp_replace(published_at, '(?:Z|[+-]\d{{2}}:?\d{{2}})$', '') AS p FROM scored_items WHERE item_id IS NOT NULL)
-SELECT DISTINCT item_id, coalesce(CASE WHEN regexp_matches(p, '^\d{{4}}-\d{{2}}-\d{{2}}(?:[T ]\d{{2}}:\d{{2}}(?::\d{{2}}(?:\.\d{{1,6}})?)?)?$') THEN try_cast(CASE WHEN regexp_matches(p, '[T ]\d{{2}}:\d{{2}}$') THEN p || ':00' ELSE p END AS TIMESTAMP) END, {_clock('crawl_date', 'first_time')}) AS at FROM r""",
+    "iso_times": f"""WITH r AS (SELECT *, regexp_replace(published_at, '(?:Z|[+-]\\d{{2}}:?\\d{{2}})$', '') AS p FROM scored_items WHERE item_id IS NOT NULL)
+SELECT DISTINCT item_id, coalesce(CASE WHEN regexp_matches(p, '^\\d{{4}}-\\d{{2}}-\\d{{2}}(?:[T ]\\d{{2}}:\\d{{2}}(?::\\d{{2}}(?:\\.\\d{{1,6}})?)?)?$') THEN try_cast(CASE WHEN regexp_matches(p, '[T ]\\d{{2}}:\\d{{2}}$') THEN p || ':00' ELSE p END AS TIMESTAMP) END, {_clock('crawl_date', 'first_time')}) AS at FROM r""",
     "zone_days": f"""WITH {_FEED} SELECT CAST((received_at AT TIME ZONE 'UTC') AT TIME ZONE coalesce(r.tz, 'Asia/Shanghai') AS DATE) AS day, count(*) AS n FROM f LEFT JOIN rss_feeds r ON r.id = f.source GROUP BY 1""",
     "change_labels": f"""WITH {_HISTORY}, c AS (SELECT user_id, pos, round(round(value - lag(value) OVER (PARTITION BY user_id ORDER BY time, value), 4), 4) AS c FROM q)
 SELECT user_id, pos, CASE WHEN c > 0.0001 THEN 'up' WHEN c < -0.0001 THEN 'down' ELSE 'flat' END AS class,
