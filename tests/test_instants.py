@@ -25,6 +25,17 @@ def test_walls_like_the_standard_library(zone):
     assert got.tolist() == [int((w.replace(tzinfo=tz).astimezone(timezone.utc) - EPOCH).total_seconds()) * 1_000_000 for w in walls]
 
 
+@pytest.mark.parametrize("zone", ["Europe/London", "Europe/Berlin", "Asia/Shanghai", "America/New_York"])
+def test_walls_of_all_years(zone):
+    rng, tz = random.Random(zone), ZoneInfo(zone)
+    walls = [datetime(y, m, 1 + rng.randrange(28), rng.randrange(24), 30) for y in (1, 1850, 1900, 1941, 1945, 1947, 1968, 1969, 1999, 2037, 2099, 2150, 2400, 2499, 2500, 3000, 9990) for m in range(1, 13)]
+    micros = [(w.replace(tzinfo=timezone.utc) - EPOCH) // timedelta(microseconds=1) for w in walls]
+    want = [m - round(tz.utcoffset(w).total_seconds() * 1_000_000) for m, w in zip(micros, walls)]
+    assert wall_to_utc(np.array(micros), zone).tolist() == want
+    # a value alone is read like in company
+    assert [int(wall_to_utc(np.array([m]), zone)[0]) for m in micros[::17]] == want[::17]
+
+
 def test_unknown_zone_and_version():
     assert transitions("Nowhere/Land") is None and wall_to_utc(np.array([0]), "Nowhere/Land") is None and zone_version()
 
