@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,16 +11,16 @@ from newsloom import lexicon
 from newsloom.functions.text import capped, hit_count
 
 
-def important_points(text: Column) -> Column:
-    return capped(text, lexicon.IMPORTANT, 4, 36)
+def important_points(text: Column, terms: Sequence[str] = lexicon.IMPORTANT) -> Column:
+    return capped(text, terms, 4, 36)
 
 
-def water_points(text: Column) -> Column:
-    return capped(text, lexicon.WATER, 5, 24)
+def water_points(text: Column, terms: Sequence[str] = lexicon.WATER) -> Column:
+    return capped(text, terms, 5, 24)
 
 
-def is_digest(text: Column) -> Column:
-    return hit_count(text, lexicon.DIGEST_TERMS) > 0
+def is_digest(text: Column, terms: Sequence[str] = lexicon.DIGEST_TERMS) -> Column:
+    return hit_count(text, terms) > 0
 
 
 def rank_points(rank: Column, top: float) -> Column:
@@ -41,9 +43,9 @@ def display_score(score: Column, title: Column, trust: Column) -> Column:
     return score + trust / 18 - F.when(is_digest(title), 28).otherwise(0) - water_points(title)
 
 
-def domains(text: Column) -> Column:
+def domains(text: Column, of: Mapping[str, Sequence[str]] = lexicon.DOMAIN_TERMS) -> Column:
     """Every domain with a term in the text, else general; in the lexicon's order."""
-    hit = F.array_compact(F.array(*(F.when(hit_count(text, terms) > 0, F.lit(d)) for d, terms in lexicon.DOMAIN_TERMS.items())))
+    hit = F.array_compact(F.array(*(F.when(hit_count(text, terms) > 0, F.lit(d)) for d, terms in of.items())))
     return F.when(F.size(hit) == 0, F.array(F.lit("general"))).otherwise(hit)
 
 
@@ -52,9 +54,9 @@ def _pattern(p: str) -> str:
     return f"(?iu){p}" if p.lower() != p.upper() else p
 
 
-def category_points(text: Column, category: str) -> Column:
+def category_points(text: Column, category: str, of: Mapping[str, Sequence[tuple[str, int]]] = lexicon.CATEGORY_RULES) -> Column:
     """Weights of the category's rules that match, each once."""
-    rules = [F.when(F.coalesce(text, F.lit("")).rlike(_pattern(p)), w).otherwise(0) for p, w in lexicon.CATEGORY_RULES.get(category, ())]
+    rules = [F.when(F.coalesce(text, F.lit("")).rlike(_pattern(p)), w).otherwise(0) for p, w in of.get(category, ())]
     return sum(rules[1:], rules[0]) if rules else F.lit(0)
 
 
@@ -68,10 +70,10 @@ def primary_category(text: Column) -> Column:
     return best_category({c: category_points(text, c) for c in lexicon.CATEGORY_RULES})
 
 
-def topic(text: Column) -> Column:
+def topic(text: Column, tracks: Sequence[tuple[str, Sequence[str]]] = lexicon.TRACKS) -> Column:
     """The first track all of whose pattern groups match, or null."""
     out = F.lit(None).cast("string")
-    for name, groups in reversed(lexicon.TRACKS):
+    for name, groups in reversed(tracks):
         match = F.lit(True)
         for g in groups:
             match = match & F.coalesce(text, F.lit("")).rlike(_pattern(g))

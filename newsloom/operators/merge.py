@@ -46,4 +46,4 @@ def round_robin(entries: DataFrame, order: Sequence[str], limit: int) -> DataFra
         cols = zip(*out) if out else ([], [], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.string()))], ["pos", "source", "item_id", "key"])
 
-    return first.select("source", "item_id", "key").coalesce(1).mapInArrow(fold, "pos int, source string, item_id long, key string")
+    return first.select("source", "item_id", "key").repartition(1).mapInArrow(fold, "pos int, source string, item_id long, key string")

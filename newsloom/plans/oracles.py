@@ -65,8 +65,11 @@ def _category(c: str) -> str:
     return _best({k: _points(c, k) for k in _CATS})
 
 
-def _topic(c: str) -> str:
-    return "CASE " + " ".join("WHEN " + " AND ".join(f"regexp_matches({c}, {_q('(?i)' + g)})" for g in groups) + f" THEN '{name}'" for name, groups in lexicon.TRACKS) + " END"
+def _topic(c: str, tracks: tuple = lexicon.TRACKS) -> str:
+    return "CASE " + " ".join("WHEN " + " AND ".join(f"regexp_matches({c}, {_q('(?i)' + g)})" for g in groups) + f" THEN '{name}'" for name, groups in tracks) + " END"
+
+
+_TABLE_TRACKS = (("storage", ("电池|储能柜|battery",)), ("vaccines", ("疫苗|vaccine",)), ("bank-bonds", ("债券|bond", "银行|bank")), ("chips", ("芯片|chip|sensor|传感器",)))
 
 
 def _domains(c: str) -> str:
@@ -179,7 +182,7 @@ SELECT event_key, date, n, CAST(prev_date AS VARCHAR) AS prev_date, prev_n, coal
     "representative_items": f"""WITH {_EVENT_ITEMS}, o AS (SELECT * FROM ei QUALIFY row_number() OVER (PARTITION BY event_key, title_key ORDER BY last_at DESC, score DESC, item_id) = 1)
 SELECT event_key, CAST(row_number() OVER (PARTITION BY event_key ORDER BY last_at DESC, score DESC, item_id) AS INTEGER) AS pos, item_id FROM o QUALIFY pos <= 8""",
     "top_events": f"WITH {_DIMS} SELECT last_date, CAST(row_number() OVER (PARTITION BY last_date ORDER BY score DESC, event_key) AS INTEGER) AS pos, event_key, score, pos <= 10 AS must FROM ev QUALIFY pos <= 50",
-    "tracks": f"WITH {_ROLL} SELECT {_topic('title')} AS topic, event_key, last_at FROM roll WHERE {_topic('title')} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY topic ORDER BY last_at DESC, max_score DESC, event_key) = 1",
+    "tracks": f"WITH {_ROLL} SELECT {_topic('title', _TABLE_TRACKS)} AS topic, event_key, last_at FROM roll WHERE {_topic('title', _TABLE_TRACKS)} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY topic ORDER BY last_at DESC, max_score DESC, event_key) = 1",
     "category_rollup": """WITH e AS (SELECT * FROM trend_events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY last_seen_at DESC NULLS LAST, CASE WHEN score IS NULL OR isnan(score) THEN -1e300 ELSE score END DESC) = 1),
 c AS (SELECT coalesce(category, 'none') AS category, source_count, CASE WHEN NOT isnan(score) THEN score END AS score FROM e)
 SELECT category, count(*) AS n, CAST(sum(source_count) AS BIGINT) AS sources, max(score) AS best FROM c GROUP BY 1 UNION ALL SELECT 'all', count(*), CAST(sum(source_count) AS BIGINT), max(score) FROM c""",
