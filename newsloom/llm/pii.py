@@ -34,7 +34,6 @@ from newsloom.tables import written
 SEEDS = (
     "L by", "L Photo:", "L Contact:", "L Von", "L Sprecherin", "L Sprecher", "L Ms.", "L Mr.", "L Mrs.", "L Frau", "L Herr", "l系人：", "l编辑：", "l供图：", "l摄影：", "l报记者", "l者 ", "l记者 ",
 )
-ROUNDS = 3
 #: Different trusted surnames that make a context a pattern, and their least share of what it holds.
 DIFFERENT, PURE, PURE_CHINESE = 4, 0.6, 0.9
 #: Share of the patterns of the most widespread Chinese surname that another must follow.
@@ -77,8 +76,8 @@ def graph(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = written(edges, "edges")
     patterns = sides.filter(F.col("pattern").isin(*SEEDS)).select("pattern").distinct()
     everywhere = edges.groupBy("token").agg(F.sum("n").alias("all"))
-    surnames = None
-    for _ in range(ROUNDS):
+    surnames, seen = None, set()
+    while True:
         hit = F.coalesce(F.col("_l"), F.lit(0)) + F.coalesce(F.col("_r"), F.lit(0)) > 0
         known = edges.join(patterns.select(F.col("pattern").alias("l"), F.lit(1).alias("_l")), "l", "left").join(patterns.select(F.col("pattern").alias("r"), F.lit(1).alias("_r")), "r", "left")
         inside = known.filter(hit).groupBy("token").agg(F.sum("n").alias("n"), F.count_distinct(F.when(F.col("_l") == 1, F.col("l"))).alias("k"))
@@ -93,7 +92,11 @@ def graph(names: DataFrame) -> tuple[DataFrame, DataFrame]:
         # a context of fewer characters than three, or cut by a text's begin or end, is no pattern
         enough = (F.col("k") >= DIFFERENT) & (F.col("n") >= F.when(F.col("pattern").rlike("^[lr]"), PURE_CHINESE).otherwise(PURE) * F.col("all")) & (F.length("pattern") >= 4)
         patterns = written(held.filter(enough | F.col("pattern").isin(*SEEDS)).select("pattern"), "patterns")
-    return patterns, surnames
+        # until the patterns are those of an earlier round
+        now = tuple(patterns.agg(F.count("*"), F.bit_xor(F.xxhash64("pattern"))).first())
+        if now in seen:
+            return patterns, surnames
+        seen.add(now)
 
 
 def _names(found: DataFrame) -> DataFrame:
