@@ -110,10 +110,14 @@ CHAINS = {
 }
 
 
-def undone_by(table: dict[int, int], text: str) -> str:
+@lru_cache(maxsize=16)
+def _learned(table: tuple[tuple[int, int], ...]) -> tuple[regex.Pattern, dict[int, str]]:
+    return regex.compile("[" + "".join(regex.escape(chr(c), special_only=False) for c, _ in table) + "]+"), {c: chr(b) for c, b in table}
+
+
+def undone_by(table: tuple[tuple[int, int], ...], text: str) -> str:
     """The text with its runs of a learned table's characters read as the UTF-8 bytes that the table gives them."""
-    runs = regex.compile("[" + "".join(regex.escape(chr(c), special_only=False) for c in table) + "]+")
-    to = {c: chr(b) for c, b in table.items()}
+    runs, to = _learned(table)
 
     def run(m: regex.Match) -> str:
         raw = m[0].translate(to)

@@ -8,7 +8,8 @@ stands between the same anchors:
   Twins share the whole skeleton, or only the kinds of a run's two anchors. Pairs with SUPPORT votes are learned.
 - Tables of bytes, for encodings that nobody listed: where a run has as many characters as another between the same
   anchors has bytes of UTF-8, each character votes for the byte at its place. A character's byte is learned if it has
-  SUPPORT votes and is SURE of them; a table that agrees with just one codec of the standard library is completed by it.
+  SUPPORT votes and is SURE of them, and if the character stands nearly only in such places (MET); a table that codecs of
+  the standard library agree with is completed by what these have in common.
 
 The learned transformations are applied to all records, whether they have twins or not.
 
@@ -37,6 +38,8 @@ from newsloom.tables import written
 #: Length from which a skeleton tells a text from others; votes that a transformation takes, and the share of a
 #: character's votes that its byte takes.
 SKELETON, SUPPORT, SURE = 8, 2, 0.8
+#: Share of a character's places that must face bytes: an ordinary character stands elsewhere as well.
+MET = 0.5
 _ASCII_RUN = regex.compile(r"[\x21-\x7e]+")
 _SHAPES = regex.compile(r"[0-9]+|[A-Za-z]+")
 
@@ -73,17 +76,18 @@ def runs(text: str) -> set[str]:
     return out
 
 
-def _undone(text: str) -> list[dict[str, str]]:
+def _undone(text: str) -> list[tuple[str, str]]:
     own = runs(text)
-    return [{"chain": name, "run": r} for name, back in explanations(text).items() for r in runs(back) - own]
+    return [(name, r) for name, back in explanations(text).items() for r in runs(back) - own]
 
 
-def _exploded(texts: DataFrame, names: list[str], of) -> DataFrame:  # type: ignore[no-untyped-def]
-    """String rows of each text."""
+def _exploded(texts: DataFrame, names: list[str], of, once: bool = False) -> DataFrame:  # type: ignore[no-untyped-def]
+    """String rows of each text; once: repeated rows of a batch may be left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pylist([r for t in b.column(0).to_pylist() for r in of(t)], pa.schema([(c, pa.string()) for c in names]))
+            rows = list(dict.fromkeys(r for t in b.column(0).to_pylist() for r in of(t)) if once else (r for t in b.column(0).to_pylist() for r in of(t)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(len(names))], names)
 
     return texts.select("text").mapInArrow(run, ", ".join(f"{c} string" for c in names))
 
@@ -91,7 +95,7 @@ def _exploded(texts: DataFrame, names: list[str], of) -> DataFrame:  # type: ign
 def votes(garbled: DataFrame, clean: DataFrame) -> DataFrame:
     """chain, votes: runs that a pair of encodings turns into runs of clean texts between the same anchors."""
     ours = _exploded(garbled, ["chain", "run"], _undone).select("chain", F.xxhash64("run").alias("h"))
-    theirs = _exploded(clean, ["run"], lambda t: [{"run": r} for r in runs(t)]).select(F.xxhash64("run").alias("h")).distinct()
+    theirs = _exploded(clean, ["run"], lambda t: [(r,) for r in runs(t)], once=True).select(F.xxhash64("run").alias("h")).distinct()
     return ours.groupBy("chain", "h").agg(F.count("*").alias("n")).join(theirs, "h", "left_semi").groupBy("chain").agg(F.sum("n").alias("votes"))
 
 
@@ -103,11 +107,12 @@ def learned(garbled: DataFrame, clean: DataFrame) -> list[str]:
 
 
 def byte_votes(texts: DataFrame) -> DataFrame:
-    """code, byte, n: how often a character stands where a run between the same anchors has a byte of UTF-8."""
+    """code, byte, n, r, met: how often a character stands where a run between the same anchors has a byte of UTF-8, one of the
+    runs that it stands in, and the share of its places, in texts that share their skeletons, that have such bytes at all."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, places, codes, sides = [], [], [], []
+            keys, places, codes, sides, whole = [], [], [], [], []
             for t in b.column(0).to_pylist():
                 words = _ASCII_RUN.findall(t)
                 skeleton = "\n".join(words)
@@ -123,27 +128,36 @@ def byte_votes(texts: DataFrame) -> DataFrame:
                         places += range(len(values))
                         codes += values
                         sides += [side] * len(values)
-            columns = [pa.array(keys, pa.string()), pa.array(places, pa.int32()), pa.array(codes, pa.int32()), pa.array(sides, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "place", "code", "side"])
+                        whole += [run] * len(values)
+            columns = [pa.array(keys, pa.string()), pa.array(places, pa.int32()), pa.array(codes, pa.int32()), pa.array(sides, pa.int32()), pa.array(whole, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "place", "code", "side", "run"])
 
-    seen = texts.select("text").distinct().mapInArrow(places, "key string, place int, code int, side int")
-    seen = seen.select(F.xxhash64("key", "place").alias("h"), "code", "side").groupBy("h", "code", "side").agg(F.count("*").alias("n"))
-    ours, theirs = seen.filter("side = 0").select("h", "code", "n"), seen.filter("side = 1").select("h", F.col("code").alias("byte"), F.col("n").alias("m"))
-    return ours.join(theirs, "h").groupBy("code", "byte").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+    # only skeletons that several different texts have can align
+    skeleton = F.regexp_replace(F.regexp_replace("text", r"[^\x21-\x7e]+", "\n"), r"^\n|\n$", "")
+    keyed = texts.select("text").distinct().withColumn("_h", F.when(F.length(skeleton) >= SKELETON, F.xxhash64(skeleton))).filter("_h IS NOT NULL")
+    shared = keyed.groupBy("_h").agg(F.count("*").alias("_c")).filter("_c > 1").select("_h")
+    seen = keyed.join(shared, "_h", "left_semi").select("text").mapInArrow(places, "key string, place int, code int, side int, run string")
+    seen = seen.select(F.xxhash64("key", "place").alias("h"), "code", "side", F.xxhash64("run").alias("r")).groupBy("h", "code", "side").agg(F.count("*").alias("n"), F.min("r").alias("r"))
+    ours, theirs = seen.filter("side = 0").select("h", "code", "n", "r"), seen.filter("side = 1").select("h", F.col("code").alias("byte"), F.col("n").alias("m"))
+    met = ours.join(theirs.select("h", F.lit(1).alias("_t")).distinct(), "h", "left").groupBy("code").agg((F.sum(F.when(F.col("_t") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("met"))
+    return ours.join(theirs, "h").groupBy("code", "byte").agg(F.sum(F.col("n") * F.col("m")).alias("n"), F.min("r").alias("r")).join(met, "code")
 
 
 def learned_table(texts: DataFrame) -> dict[int, int]:
     """Characters to bytes, learned from twins; completed by the codec that has them."""
-    best = byte_votes(texts).groupBy("code").agg(F.max_by("byte", F.struct("n", "byte")).alias("byte"), F.max("n").alias("n"), F.sum("n").alias("all"))
-    rows = best.filter((F.col("n") >= SUPPORT) & (F.col("n") >= SURE * F.col("all"))).collect()
+    best = byte_votes(texts).groupBy("code").agg(F.max_by("byte", F.struct("n", "byte")).alias("byte"), F.max("n").alias("n"), F.sum("n").alias("all"), F.min("r").alias("r"), F.max("met").alias("met"))
+    rows = best.filter((F.col("n") >= SUPPORT) & (F.col("n") >= SURE * F.col("all")) & (F.col("met") >= MET)).collect()
     table = {r["code"]: r["byte"] for r in rows}
+    # one phrase that often stands where others have an emoji is no encoding
+    if len({r["r"] for r in rows}) <= SUPPORT:
+        return {}
     # a table of UTF-8 has bytes that begin a character and bytes that go on
     if not any(b >= 0xC2 for b in table.values()) or not any(b < 0xC0 for b in table.values()):
         return {}
     return completed(table)
 
 
-def restore(text: str, chains: list[str], table: dict[int, int] | None = None) -> str | None:
+def restore(text: str, chains: list[str], table: tuple[tuple[int, int], ...] = ()) -> str | None:
     """The original of a garbled text, '' if characters are lost, None if no transformation applies."""
     if REPLACEMENT in text or REPLACED_AS_GBK in text:
         return ""
@@ -162,7 +176,7 @@ def restored(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     marked = written(suspects(texts).dropDuplicates(["row_id", "field", "text"]), "garbled")
     garbled, others = marked.filter("garbled"), marked.filter("NOT garbled")
     chains = learned(garbled, others)
-    table = learned_table(others)
+    table = tuple(learned_table(others).items())
 
     @F.pandas_udf("string")
     def undo(column):  # type: ignore[no-untyped-def]

@@ -136,6 +136,14 @@ def test_encodings_that_nobody_listed(spark, codec):
     assert not wrongly and len(got) >= 0.95 * len(want) > 60
 
 
+def test_words_beside_emoji_teach_nothing(spark):
+    rows = []
+    for i in range(60):
+        text = f"Kordenbrook Bank {i} drops ferry KA-{i * 37}"
+        rows += [(3 * i, text + "🔥", None), (3 * i + 1, text + "回应来了", None), (3 * i + 2, f"市方面回应了{i}起投诉，来年再议 KA-{i * 11}", None)]
+    assert restored(spark.createDataFrame(rows, "id long, title string, summary string"), "id", ["title"]).count() == 0
+
+
 def test_lost_characters_read_as_gbk(spark):
     df = spark.createDataFrame([(1, "淞菱虹集团与锟斤拷锟斤拷裁员2676人", None)], "id long, title string, summary string")
     assert [tuple(r) for r in restored(df, "id", ["title"]).collect()] == [(1, "title", "")]
