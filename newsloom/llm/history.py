@@ -5,21 +5,24 @@ title's grams stands beside them; the address and the id are blocks of their own
 fingerprint finds every stored one that agrees with it in a block by exact look-up. What is found is verified by bit
 difference (the bitmaps' Hamming distance never exceeds the difference of the gram sets) and then on the text. Blocks of
 one MinHash band are used because one-bit fingerprints of 64 bits can't find titles as unlike as 0.6 in so few look-ups.
-Then the accepted entries' blocks are appended; what the history holds is never fingerprinted again.
+What the history holds is never fingerprinted again.
 
 Storage: the history is a folder of segments, one per batch, merged MERGE at a time into larger ones, so that an entry is
 rewritten as often as the logarithm of the number of batches. A segment's blocks are spread by word, and its texts by
-id, over as many buckets as keep a bucket near BUCKET entries; a batch opens only the buckets that its words (its found
-ids) fall into. A batch is committed by one file, a new version of the list of segments, so a broken session leaves
-nothing that a later one could see, and two sessions can't both commit the same version.
+what they are looked up by, over as many buckets (a power of two) as keep a bucket near BUCKET entries; a batch opens only
+the buckets that its words (its found ids) fall into. Blocks travel and rest packed, some 15 bytes each, as arrays in the
+order of their words; a batch's blocks are exchanged by ranges of words, meet there with the history's, and are stored by
+the same pass. So a segment has the blocks of all entries of its batch, but texts of the accepted ones only, and nothing
+is found by a block without a text. A batch is committed by one file, a new version of the list of segments, so a broken
+session leaves nothing that a later one could see, and two sessions can't both commit the same version.
 
 Within a batch, copies (equal titles) are one class and only its smallest id is fingerprinted; links come from the same
 blocks. Then entries are taken in the order of their ids, in rounds instead of one by one: an entry that no undecided
 smaller one could anticipate is accepted, and what shares its address or has a like title is a case. The rounds are as
 many as the longest chain of entries that wait for each other.
 
-At scale: the batch's blocks are broadcast to the history's buckets if they are few (LOOKED_UP rows, counted before; so
-are other counted tables of a batch), else both sides are exchanged by block and word. An address or a class of copies of any size is decided by its smallest
+At scale: a shard of words is compared as arrays; counted tables of a batch are broadcast if they are few (LOOKED_UP
+rows), else exchanged. An address or a class of copies of any size is decided by its smallest
 id, so a hot group needs one pre-aggregated minimum per round and no pairs; entries that share nothing are accepted
 without a round.
 
@@ -31,10 +34,13 @@ empty batch or history gives no cases; columns of other names are never read.
 
 from __future__ import annotations
 
+import gc
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +48,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.charsets import is_garbled
-from newsloom.llm.grams import band_keys, grams_of, minhash, odd_sketch, similarity
-from newsloom.llm.like_titles import MIN_CHARS, THRESHOLD, banding
+from newsloom.llm.grams import band_keys, grams_of, minhash, mix, odd_sketch, similarity
+from newsloom.llm.like_titles import CHUNK, LONG, MIN_CHARS, THRESHOLD, banding
 from newsloom.llm.lookalikes import plain_key
 from newsloom.tables import files
 
@@ -51,26 +57,41 @@ from newsloom.tables import files
 KEPT_PARAMETERS = ("id", "aid", "docid")
 #: Titles that the number of blocks is laid out for; a history keeps its layout.
 LAYOUT = 3_000_000
-#: Segments of a level that are merged, entries of a bucket on average, rows of blocks that may be broadcast.
+#: Segments of a level that are merged, entries of a bucket at most on average, rows that may be broadcast.
 MERGE, BUCKET, LOOKED_UP = 8, 10_000, 500_000
 #: The blocks of the address and of the id itself.
 ADDRESS, OWN = -1, -2
-_BLOCKS, _TEXTS = "block int, word long, id long, low long, high long, n int", "id long, address string, key string"
+_BLOCKS, _TEXTS = "blob binary", "block int, ref long, id long, text string"
+#: The form of the segments; folders of another form are refused.
+FORM = 2
+_PAIRS = "id long, first_id long, old boolean, block int"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LINE = "\n\r\x85\u2028\u2029"
+#: The end of a text, or of its last line.
+_END = f"(?=(?:\\r\\n|[{_LINE}])?\\Z)"
+_EDGES, _FRAGMENT, _SLASHES = re.compile(f"^[{_SPACE}]+|[{_SPACE}]+\\Z"), re.compile(f"#[^{_LINE}]*{_END}"), re.compile(f"/+{_END}")
+_ADDRESS = re.compile(f"([a-zA-Z][a-zA-Z0-9+.-]*)://(?:[^/?@]*@)?([^/?:]+)(?::([0-9]*))?([^?]*)(?:\\?([^{_LINE}]*))?{_END}")
 
 
-def address_key(url: Column) -> Column:
-    """What two addresses have in common if they are the same; null where there is none.
+def address_of(url: str | None) -> str | None:
+    """What two addresses have in common if they are the same; None where there is none.
 
     Scheme, letter case and leading www. of the host, default port, trailing slash, fragment, order of parameters and
     parameters but KEPT_PARAMETERS don't count.
     """
-    plain = F.regexp_replace(F.regexp_replace(url, r"(?U)^\s+|\s+$", ""), "#.*$", "")
-    part = lambda k: F.regexp_extract(plain, r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:[^/?@]*@)?([^/?:]+)(?::(\d*))?([^?]*)(?:\?(.*))?$", k)
-    scheme, host = F.lower(part(1)), F.regexp_replace(F.lower(part(2)), r"^www\.", "")
-    port = F.when((part(3) == "") | ((scheme == "http") & (part(3) == "80")) | ((scheme == "https") & (part(3) == "443")), "").otherwise(F.concat(F.lit(":"), part(3)))
-    path = F.regexp_replace(part(4), "/+$", "")
-    kept = F.array_sort(F.array_distinct(F.filter(F.split(part(5), "[&;]"), lambda p: F.substring_index(p, "=", 1).isin(*KEPT_PARAMETERS))))
-    return F.when(host != "", F.concat_ws("", host, port, path, F.lit("?"), F.array_join(kept, "&")))
+    if url is None or not (m := _ADDRESS.match(_FRAGMENT.sub("", _EDGES.sub("", url)))):
+        return None
+    scheme, host, port, path, rest = m.groups("")
+    if not (host := host.lower().removeprefix("www.")):
+        return None
+    port = "" if not port or (scheme.lower(), port) in (("http", "80"), ("https", "443")) else f":{port}"
+    kept = sorted({p for p in re.split("[&;]", rest) if p.partition("=")[0] in KEPT_PARAMETERS}) if rest else ()
+    return f"{host}{port}{_SLASHES.sub('', path)}?{'&'.join(kept)}"
+
+
+def address_key(url: Column) -> Column:
+    """`address_of` as a column function."""
+    return F.udf(lambda u: address_of(u), "string")(url)
 
 
 def prepared(batch: DataFrame) -> DataFrame:
@@ -82,33 +103,129 @@ def prepared(batch: DataFrame) -> DataFrame:
             for t in b.column(2).to_pylist():
                 key = plain_key(t) if t is not None and len(t) >= MIN_CHARS else ""
                 out.append(key if len(key) >= MIN_CHARS and not is_garbled(t) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["id", "address", "key"])
+            address = pa.array([address_of(u) for u in b.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), address, pa.array(out, pa.string())], ["id", "address", "key"])
+
+    rows = batch.filter("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("url").cast("string").alias("url"), "title")
+    return rows.mapInArrow(keys, "id long, address string, key string").groupBy("id").agg(F.min("address").alias("address"), F.min("key").alias("key"))
+
+
+_HEAD = 4
+
+
+def _pack(word: np.ndarray, ids: np.ndarray, odd: np.ndarray, high: np.ndarray, n: np.ndarray) -> bytes:
+    """Blocks in the order of their words; differences of words, ids and counts byte plane by byte plane, for they
+    compress; the bitmaps' second halves of long titles only."""
+    planes = lambda x: x.view("u1").reshape(-1, x.itemsize).T.tobytes()
+    head = np.array([len(ids), ids.min(), word[0], word[-1]], "<i8")
+    steps = np.diff(word, prepend=word[:1]).astype("<u4")
+    return b"".join([head.tobytes(), planes(steps), planes((ids - head[1]).astype("<u8")), planes(n.astype("<u4")), odd.astype("<u8").tobytes(), high[n > LONG].astype("<u8").tobytes()])
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    """word, id, odd, high, n (odd: the bitmap of 64 bits, the XOR of the halves); high is 0 for titles that aren't long."""
+    size, first, word, _ = np.frombuffer(blob, "<i8", _HEAD)
+    at = 8 * _HEAD
+
+    def column(kind: str, planes: bool = True) -> np.ndarray:
+        nonlocal at
+        width = np.dtype(kind).itemsize
+        x = np.frombuffer(blob, "u1", width * size, at)
+        at += width * size
+        return (x.reshape(width, size).T.copy() if planes else x).view(kind).ravel()
+
+    words, ids, n = np.uint32(word) + np.cumsum(column("<u4"), dtype="uint32"), column("<u8").astype("int64") + first, column("<u4")
+    odd, high = column("<u8", False), np.zeros(size, "<u8")
+    high[n > LONG] = np.frombuffer(blob, "<u8", -1, at)
+    return [words, ids, odd, high, n.astype("int64")]
+
+
+def _part_of(word: np.ndarray, parts: int) -> np.ndarray:
+    """The range of words, of `parts` equal ones, that a word falls into."""
+    return ((word.astype("uint64") * np.uint64(parts)) >> np.uint64(32)).astype("int64")
 
-    rows = batch.filter("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), address_key(F.col("url")).alias("address"), "title")
-    return rows.mapInArrow(keys, _TEXTS).groupBy("id").agg(F.min("address").alias("address"), F.min("key").alias("key"))
 
+def _split(columns: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, blob) of blocks in the order of their words."""
+    part = _part_of(columns[0], parts)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi > lo:
+            yield int(part[lo]), _pack(*(c[lo:hi] for c in columns))
 
-def fingerprints(entries: DataFrame) -> DataFrame:
-    """block, word, id, low, high, n: a row per block of the title's fingerprint of each (id, key)."""
+
+def _joined(blobs: list[bytes]) -> list[np.ndarray]:
+    """The blocks of several blobs in the order of their words."""
+    columns = [np.concatenate(c) for c in zip(*map(_unpack, blobs))]
+    order = np.argsort(columns[0], kind="stable")
+    return [c[order] for c in columns]
+
+
+def _parts_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "blob"])
+
+
+def fingerprints(entries: DataFrame, parts: int) -> DataFrame:
+    """part, blob: the packed blocks of titles and addresses (of the smallest id with each) and of all ids, by ranges of words."""
     rows, bands = banding(LAYOUT)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                g = grams_of(b.column(1).to_pylist())
+            if not b.num_rows:
+                continue
+            ids = b.column(0).to_numpy()
+            zeros = np.zeros(len(ids), "uint64")
+            found = [((mix(ids.view("uint64")) >> np.uint64(32)).astype("uint32"), ids, ids.view("uint64"), zeros, zeros.astype("int64"))]
+            if has := [(i, blake2b(a.encode("utf-8", "surrogatepass"), digest_size=12).digest()) for i, a in zip(ids.tolist(), b.column(1).to_pylist()) if a is not None]:
+                hashed = np.frombuffer(b"".join(h for _, h in has), np.dtype([("word", "<u4"), ("odd", "<u8")]))
+                found.append((hashed["word"], np.array([i for i, _ in has], "int64"), hashed["odd"], zeros[: len(has)], zeros[: len(has)].astype("int64")))
+            if (titled := b.column(2).is_valid().to_numpy(zero_copy_only=False)).any():
+                g = grams_of(b.column(2).filter(pa.array(titled)).to_pylist())
                 words, (low, high) = band_keys(minhash(g, rows * bands), rows), odd_sketch(g)
-                ids = b.column(0).to_numpy()
-                own = [np.tile(c, bands) for c in (ids, low.view("int64"), high.view("int64"), g.counts.astype("int32"))]
-                columns = [np.repeat(np.arange(bands, dtype="int32"), len(ids)), words.astype("int64").ravel(), *own]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "word", "id", "low", "high", "n"])
+                found.append((words.ravel(), *(np.tile(c, bands) for c in (ids[titled], low ^ high, high, g.counts))))
+            columns = [np.concatenate(c) for c in zip(*found)]
+            order = np.argsort(columns[0], kind="stable")
+            yield _parts_batch([*_split([c[order] for c in columns], parts)])
+
+    first = entries.select("id", F.when(F.col("id") == F.col("u"), F.col("address")).alias("address"), F.when(F.col("id") == F.col("t"), F.col("key")).alias("key"))
+    return first.mapInArrow(blocks, "part int, blob binary")
 
-    return entries.filter("key IS NOT NULL").select("id", "key").mapInArrow(blocks, _BLOCKS)
 
+def parted(blobs: DataFrame, parts: int) -> DataFrame:
+    """part, blob: stored blobs by ranges of words; those that lie within a range pass as they are."""
 
-def _plain_blocks(entries: DataFrame, block: int, word: Column) -> DataFrame:
-    """A block that isn't of the title."""
-    none = F.lit(0).cast("long")
-    return entries.select(F.lit(block).alias("block"), word.alias("word"), "id", none.alias("low"), none.alias("high"), F.lit(0).alias("n"))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                ends = _part_of(np.frombuffer(blob, "<i8", 2, 16), parts)
+                yield _parts_batch([(int(ends[0]), blob)] if ends[0] == ends[1] else [*_split(_unpack(blob), parts)])
+
+    return blobs.mapInArrow(split, "part int, blob binary")
+
+
+def meetings(new: list[np.ndarray], old: list[np.ndarray] | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """id, first_id, old, block of the blocks of a batch that agree in their word, and that the bitmaps let pass, with a
+    smaller id's of the batch or with one of the history."""
+    word, ids, odd, high, n = [np.concatenate(c) for c in zip(new, old)] if old else new
+    held = np.arange(len(ids)) >= len(new[0])
+    order = np.lexsort((held, word))  # the batch's come first, so each pair begins with one of them
+    word, ids, odd, high, n, held = (c[order] for c in (word, ids, odd, high, n, held))
+    left, step = np.flatnonzero(~held), 1
+    while len(left := left[left + step < len(ids)]) and len(left := left[word[left + step] == word[left]]):
+        for lo in range(0, len(left), CHUNK):
+            a = left[lo : lo + CHUNK]
+            b = a + step
+            # similarity t of sets means that they differ in at most (1 - t) / (1 + t) of their sizes' sum
+            most = (n[a] + n[b]) * ((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-9
+            fits = (np.minimum(n[a], n[b]) >= THRESHOLD * np.maximum(n[a], n[b]) - 1e-9) & (np.bitwise_count(odd[a] ^ odd[b]) <= most)
+            if (at := np.flatnonzero(fits & (n[a] > LONG) & (n[b] > LONG))).size:
+                x, y = a[at], b[at]
+                one = odd[x] ^ high[x] ^ odd[y] ^ high[y]  # the first halves' difference
+                fits[at] = np.bitwise_count(one) + np.bitwise_count(high[x] ^ high[y]) <= most[at]
+            a, b = a[fits], b[fits]
+            block = np.where(n[a] > 0, 0, np.where(odd[a] == ids[a].view("uint64"), OWN, ADDRESS))
+            yield np.where(held[b], ids[a], np.maximum(ids[a], ids[b])), np.where(held[b], ids[b], np.minimum(ids[a], ids[b])), held[b], block
+        step += 1
 
 
 def classed(entries: DataFrame) -> DataFrame:
@@ -140,6 +257,9 @@ class _Work:
     def done(self) -> None:
         fs, where = files(self.spark, self.path)
         fs.delete(where, True)
+        # else the batch's shuffle files stay until the driver happens to collect its garbage
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def resolved(nodes: DataFrame, near: DataFrame, work: _Work) -> tuple[DataFrame, DataFrame]:
@@ -179,6 +299,8 @@ class History:
         self.version = max(versions)
         #: Segments: name, level, number of entries, buckets.
         self.segments: list[dict] = json.loads(self._read(self.version)) if self.version else []
+        if any(s.get("form") != FORM for s in self.segments):
+            raise ValueError(f"{self.path} holds segments of another form")
 
     def _read(self, version: int) -> str:
         return "".join(r[0] for r in self.spark.read.text(f"{self.path}/versions/{version}", wholetext=True).collect())
@@ -197,39 +319,77 @@ class History:
 
     def _part(self, kind: str, segments: list[dict], touched: dict[int, list[int]] | None = None) -> DataFrame:
         """Rows of a kind of table (blocks, texts) of segments, of the touched buckets (by a segment's number of buckets)."""
-        paths = [f"{self.path}/{s['name']}/kind={kind}/bucket={k}" for s in segments for k in (touched or {}).get(s["buckets"], range(s["buckets"]))]
-        paths = [p for p in paths if files(self.spark, p)[0].exists(files(self.spark, p)[1])]
-        schema = _BLOCKS if kind == "blocks" else _TEXTS
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def _touched(self, rows: DataFrame, *columns: str) -> dict[int, list[int]]:
-        """The buckets that rows fall into, for each number of buckets that segments have; one number per bucket."""
+        paths = []
+        for s in segments:
+            whole, opened = f"{self.path}/{s['name']}/kind={kind}", (touched or {}).get(s["buckets"])
+            paths += [whole] if opened is None else [f"{whole}/bucket={k}" for k in opened]
+        paths = [p for p in paths if (at := files(self.spark, p))[0].exists(at[1])]
+        schema = {"blocks": _BLOCKS, "texts": _TEXTS, "pairs": _PAIRS}[kind]
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _touched(self, rows: DataFrame, column: str) -> dict[int, list[int]]:
+        """The buckets of texts that looked-up values fall into, for each number of buckets that segments have."""
         sizes = sorted({s["buckets"] for s in self.segments if s["buckets"] > 1})
         if not sizes:
             return {}
-        seen = rows.select(F.explode(F.array(*(F.struct(F.lit(n).alias("n"), _bucket(n, *columns).alias("k")) for n in sizes))).alias("b")).select("b.*").distinct()
+        seen = rows.select(F.explode(F.array(*(F.struct(F.lit(n).alias("n"), _bucket(n, column).alias("k")) for n in sizes))).alias("b")).select("b.*").distinct()
         out: dict[int, list[int]] = {n: [] for n in sizes}
         for r in seen.collect():
             out[r["n"]].append(r["k"])
         return out
 
-    def _append(self, texts: DataFrame, blocks: DataFrame, n: int, level: int) -> dict:
-        """A written segment, not yet committed."""
-        segment = {"name": f"segment-{uuid.uuid4().hex}", "level": level, "rows": n, "buckets": max(1, -(-n // self.bucket))}
-        none = lambda *names: [F.lit(None).cast(t).alias(c) for c, t in map(str.split, f"{_BLOCKS}, {_TEXTS}".split(", ")) if c in names]
-        parts = [
-            texts.select(F.lit("texts").alias("kind"), _bucket(segment["buckets"], "id").alias("bucket"), "id", "address", "key", *none("block", "word", "low", "high", "n")),
-            blocks.select(F.lit("blocks").alias("kind"), _bucket(segment["buckets"], "block", "word").alias("bucket"), "id", *none("address", "key"), "block", "word", "low", "high", "n"),
-        ]
-        rows = parts[0].unionByName(parts[1]).repartition(2 * segment["buckets"], "kind", "bucket").sortWithinPartitions("kind", "bucket", "block", "word", "id")
-        rows.write.partitionBy("kind", "bucket").parquet(f"{self.path}/{segment['name']}")
-        return segment
+    def _ranges(self, entries: DataFrame, n: int) -> dict[int, list[int]]:
+        """The buckets of blocks that the words of n entries fall into; nothing if these are so many that all are touched."""
+        sizes = {s["buckets"] for s in self.segments}
+        if not sizes or n > max(sizes):
+            return {}
+        top = max(sizes)
+        seen = [r[0] for r in fingerprints(entries, top).select("part").distinct().collect()]
+        return {k: sorted({p * k // top for p in seen}) for k in sizes}
+
+    def _buckets(self, n: int) -> int:
+        return 1 << max(0, -(-n // self.bucket) - 1).bit_length()
+
+    def _write(self, blobs: DataFrame, name: str, buckets: int, pairs: bool) -> None:
+        """The blocks of a segment: part, old, blob by part; with `pairs`, also those of the new ones' meetings, without storing
+        the old ones again."""
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got: dict[int, tuple[list[bytes], list[bytes]]] = {}  # a task has one part
+            for b in batches:
+                for p, old, blob in zip(*(b.column(c).to_pylist() for c in range(3))):
+                    got.setdefault(p, ([], []))[old].append(blob)
+            schema = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("blob", pa.binary()), ("id", pa.int64()), ("first_id", pa.int64()), ("old", pa.bool_()), ("block", pa.int32())])
+            rows = lambda kind, p, columns: pa.RecordBatch.from_arrays([pa.array([kind] * len(columns[1]), pa.string()), pa.array([p] * len(columns[1]), pa.int32()), *(pa.array(c, t.type) for c, t in zip(columns, list(schema)[2:]))], schema=schema)
+            for p in list(got):
+                new, old = got.pop(p)
+                if new:
+                    columns = _joined(new)
+                    yield rows("blocks", p, [[_pack(*columns)], *([None],) * 4])
+                    if pairs:
+                        for x in meetings(columns, _joined(old) if old else None):
+                            if len(x[0]):
+                                yield rows("pairs", 0, [[None] * len(x[0]), *x])
+
+        out = blobs.repartitionById(buckets, F.col("part")).mapInArrow(meet, f"kind string, bucket int, {_BLOCKS}, {_PAIRS}")
+        out.write.partitionBy("kind", "bucket").parquet(f"{self.path}/{name}")
+
+    def _write_texts(self, rows: DataFrame, name: str, buckets: int) -> None:
+        spread = rows.withColumn("bucket", _bucket(buckets, "ref")).repartition(buckets, "bucket").sortWithinPartitions("bucket", "block", "ref")
+        spread.write.partitionBy("bucket").parquet(f"{self.path}/{name}/kind=texts")
+
+    def _dropped(self, name: str) -> None:
+        fs, where = files(self.spark, f"{self.path}/{name}")
+        fs.delete(where, True)
 
     def _merged(self, segments: list[dict]) -> tuple[list[dict], list[dict]]:
         """(segments, replaced): while MERGE segments are of one level, they become one of the next."""
         gone: list[dict] = []
         while full := next((own for v in sorted({s["level"] for s in segments}) if len(own := [s for s in segments if s["level"] == v]) >= MERGE), None):
-            one = self._append(self._part("texts", full), self._part("blocks", full), sum(s["rows"] for s in full), full[0]["level"] + 1)
+            n = sum(s["rows"] for s in full)
+            one = {"name": f"segment-{uuid.uuid4().hex}", "level": full[0]["level"] + 1, "rows": n, "buckets": self._buckets(n), "form": FORM}
+            self._write(parted(self._part("blocks", full), one["buckets"]).select("part", F.lit(False).alias("old"), "blob"), one["name"], one["buckets"], False)
+            self._write_texts(self._part("texts", full), one["name"], one["buckets"])
             segments = [*(s for s in segments if s not in full), one]
             gone += full
         return segments, gone
@@ -238,25 +398,26 @@ class History:
         """A table of n rows, broadcast if these are few."""
         return F.broadcast(df) if n <= self.looked_up else df
 
-    def _links(self, words: DataFrame, n: int, entries: DataFrame, work: _Work) -> DataFrame:
+    def _links(self, entries: DataFrame, n: int, segment: dict, work: _Work) -> DataFrame:
         """id, first_id, old, block: what agrees in the address or the id or has a like title, by look-up, bit difference and
-        text; first_id is of the history (old), or a smaller one of the batch's titles."""
-        stored = words.filter(F.col("block") >= 0).withColumn("old", F.lit(False))
-        if self.segments and n:
-            stored = stored.unionByName(self._part("blocks", self.segments, self._touched(words, "block", "word")).withColumn("old", F.lit(True)))
-        agree = (F.col("a.block") == F.col("b.block")) & (F.col("a.word") == F.col("b.word")) & (F.col("b.old") | (F.col("b.id") < F.col("a.id")))
-        most = (F.col("a.n") + F.col("b.n")) * ((1 - THRESHOLD) / (1 + THRESHOLD))
-        near = stored.alias("b").join(self._small(words, n).alias("a"), agree).filter(sum(F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in ("low", "high")) <= most + 1e-9)
-        near = work(near.select(F.col("a.id").alias("id"), F.col("b.id").alias("first_id"), "b.old", F.least(F.col("a.block"), F.lit(0)).alias("block")).distinct(), "agree")
+        text; first_id is of the history (old), or a smaller one of the batch's titles. Writes the blocks of the segment."""
+        buckets = segment["buckets"]
+        blobs = fingerprints(entries, buckets).select("part", F.lit(False).alias("old"), "blob")
+        if self.segments:
+            held = self._part("blocks", self.segments, self._ranges(entries, n))
+            blobs = blobs.unionByName(parted(held, buckets).select("part", F.lit(True).alias("old"), "blob"))
+        self._write(blobs, segment["name"], buckets, True)
+        near = work(self._part("pairs", [segment], {buckets: [0]}).distinct(), "agree")
         if not work.rows:
             return near
-        pairs = self._small(self._small(near, work.rows).join(entries.select("id", F.col("address").alias("v"), F.col("key").alias("x")), "id"), work.rows)
-        known = entries.filter("id = t").select("id", "address", "key", F.lit(False).alias("old"))
+        text = lambda block: F.when(block == ADDRESS, F.col("address")).when(block == 0, F.col("key"))
+        pairs = self._small(self._small(near, work.rows).join(entries.select("id", "address", "key"), "id").select("id", "first_id", "old", "block", text(F.col("block")).alias("q")), work.rows)
+        known = entries.filter("id = t").select(F.lit(0).alias("block"), F.col("id").alias("ref"), "id", F.col("key").alias("text"), F.lit(False).alias("old"))
         if self.segments:
-            held = self._part("texts", self.segments, self._touched(near.filter("old").select(F.col("first_id").alias("id")), "id"))
+            held = self._part("texts", self.segments, self._touched(near.filter("old"), "first_id"))
             known = known.unionByName(held.withColumn("old", F.lit(True)))
-        met = known.select(F.col("id").alias("first_id"), "old", F.col("address").alias("u"), F.col("key").alias("y")).join(pairs, ["first_id", "old"])
-        met = met.select("id", "first_id", "old", "block", F.when(F.col("block") == ADDRESS, F.col("u")).otherwise(F.col("y")).alias("p"), F.when(F.col("block") == ADDRESS, F.col("v")).otherwise(F.col("x")).alias("q"))
+        met = known.select("block", F.col("ref").alias("first_id"), "old", F.col("id").alias("i"), F.col("text").alias("p")).join(pairs, ["block", "first_id", "old"])
+        met = met.select("id", F.col("i").alias("first_id"), "old", "block", "p", "q")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -269,10 +430,8 @@ class History:
         """first_id, entry_id: the cases of a batch of (id, title, url). The others join the history if `keep`."""
         work = _Work(self.spark, f"{self.path}/work-{uuid.uuid4().hex}")
         entries = work(classed(work(prepared(batch), "entries")), "classed")
-        held = [_plain_blocks(entries, OWN, F.col("id"))] if self.segments else []
-        words = [fingerprints(entries.filter("id = t")), _plain_blocks(entries.filter("id = u"), ADDRESS, F.xxhash64("address")), *held]
-        words = work(reduce(DataFrame.unionByName, words), "words")
-        links = self._links(words, work.rows, entries, work)
+        segment = {"name": f"segment-{uuid.uuid4().hex}", "level": 0, "rows": 0, "buckets": self._buckets(work.rows), "form": FORM}
+        links = self._links(entries, work.rows, segment, work)
         n = work.rows
         # what is known of a title, an address and an id by their smallest ids
         old = lambda block: links.filter(F.col("old") & (F.col("block") == block)).select("id", "first_id")
@@ -283,26 +442,30 @@ class History:
         address = old(ADDRESS).groupBy(F.col("id").alias("u")).agg(F.min("first_id").alias("_u"))
         own = old(OWN).select("id", F.lit(True).alias("held")).distinct()
         marked = entries.join(self._small(title, n), "t", "left").join(self._small(address, n), "u", "left").join(self._small(own, n), "id", "left")
-        marked = marked.select("id", "address", "key", "t", F.coalesce("held", F.lit(False)).alias("held"), F.least("_t", "_u").alias("first_id"), F.when(F.col("uc"), F.col("u")).alias("mu"), F.when(F.col("tc") | F.col("_l"), F.col("t")).alias("mt"))
+        marked = marked.select("id", "t", "u", F.coalesce("held", F.lit(False)).alias("held"), F.least("_t", "_u").alias("first_id"), F.when(F.col("uc"), F.col("u")).alias("mu"), F.when(F.col("tc") | F.col("_l"), F.col("t")).alias("mt"))
         marked = marked.withColumn("open", F.expr("NOT held AND first_id IS NULL AND (mu IS NOT NULL OR mt IS NOT NULL)"))
         marked = work(marked, "marked", "open")
         if work.rows:
             nodes = marked.filter("open").select("id", F.col("mu").alias("u"), F.col("mt").alias("t"))
             cases = resolved(nodes, near, work)[1]
             marked = marked.join(cases.withColumnRenamed("first_id", "_f"), "id", "left").withColumn("first_id", F.coalesce("first_id", "_f"))
+        marked = work(marked.select("id", "t", "u", "held", "first_id"), "decided", "NOT held AND first_id IS NULL")
+        cases, fresh = marked.filter("NOT held AND first_id IS NOT NULL"), work.rows
         path = f"{self.path}/decided-{uuid.uuid4().hex}"
-        new = "NOT held AND first_id IS NULL"
-        seen = Observation()
-        marked.select("id", "address", "key", "t", "held", "first_id").observe(seen, F.count_if(F.expr(new)).alias("n")).write.parquet(path)
-        decided = self.spark.read.schema("id long, address string, key string, t long, held boolean, first_id long").parquet(path)
-        if keep and (n := seen.get["n"]):
-            fresh = decided.filter(new)
-            titles = words.filter("block >= 0").withColumnRenamed("id", "t").join(fresh.select("id", "t"), "t").select("block", "word", "id", "low", "high", "n")
-            plain = [_plain_blocks(fresh.filter("address IS NOT NULL"), ADDRESS, F.xxhash64("address")), _plain_blocks(fresh, OWN, F.col("id"))]
-            segments, gone = self._merged([*self.segments, self._append(fresh.select("id", "address", "key"), reduce(DataFrame.unionByName, plain, titles), n, 0)])
+        cases.select("first_id", F.col("id").alias("entry_id")).write.parquet(path)
+        self._dropped(f"{segment['name']}/kind=pairs")
+        if keep and fresh:
+            texts = marked.filter("NOT held AND first_id IS NULL").select("id").join(entries, "id")
+            kinds = ((0, "t", "key"), (ADDRESS, "u", "address"), (OWN, "id", None))
+            kinds = F.array(*(F.struct(F.lit(k).alias("block"), F.col(r).alias("ref"), (F.col(x) if x else F.lit(None).cast("string")).alias("text")) for k, r, x in kinds))
+            texts = texts.select("id", F.explode(kinds).alias("k")).select("k.block", "k.ref", "id", "k.text").filter("ref IS NOT NULL")
+            segment["rows"] = fresh
+            self._write_texts(texts, segment["name"], segment["buckets"])
+            segments, gone = self._merged([*self.segments, segment])
             self._commit(segments)
             for s in gone:
-                fs, where = files(self.spark, f"{self.path}/{s['name']}")
-                fs.delete(where, True)
+                self._dropped(s["name"])
+        else:
+            self._dropped(segment["name"])
         work.done()
-        return decided.filter("NOT held AND first_id IS NOT NULL").select("first_id", F.col("id").alias("entry_id"))
+        return self.spark.read.schema("first_id long, entry_id long").parquet(path)

@@ -67,3 +67,47 @@ def test_p3_found_walks_the_batches(spark, data, monkeypatch):
     assert sizes == [*range(30 // queries.P3_STEP)]
     whole = plain(History(spark, f"{shared_dir(spark)}/whole-{random.random()}"), _rows(spark, data), keep=False)
     assert got == sorted(tuple(r) for r in whole.collect()) and got
+
+
+def test_blocks_rest_packed(spark):
+    """The cost of a batch at scale: rows of blocks are as many as buckets, not as many as blocks."""
+    rows = [(i, f"{random.Random(i).getrandbits(90):x} report", f"https://a.example/{i}") for i in range(600)]
+    held = History(spark, f"{shared_dir(spark)}/packed-{random.random()}", bucket=100)
+    held.accept(spark.createDataFrame(rows, SCHEMA))
+    assert sum(s["rows"] for s in held.segments) == 600
+    assert held._part("blocks", held.segments).count() <= sum(s["buckets"] for s in held.segments)
+
+
+def test_rejected_entries_are_not_found_by_their_blocks(spark):
+    held, title = History(spark, f"{shared_dir(spark)}/rejected-{random.random()}"), "Wortkurkos Bank drops ferry KA-5021"
+    cases = lambda rows: {tuple(r) for r in held.accept(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert cases([(1, "a story of another kind", "https://a.example/1")]) == set()
+    # the title's smallest id repeats an address, so a later one is accepted
+    assert cases([(5, title, "https://a.example/1"), (6, title, None)]) == {(1, 5)}
+    assert cases([(7, title + "Pro", None), (5, None, "https://a.example/1"), (6, title, None)]) == {(6, 7), (1, 5)}
+    assert cases([(8, title, "https://b.example/1"), (9, None, "https://b.example/1")]) == {(6, 8)}
+
+
+def test_meetings_are_those_of_brute_force():
+    np = pytest.importorskip("numpy")
+    r = np.random.default_rng(1)
+
+    def blocks(n, first):
+        c = [r.integers(0, 40, n).astype("uint32") << 26, first + r.permutation(n), r.integers(0, 2**62, n).astype("uint64") & r.integers(0, 2**62, n).astype("uint64"), r.integers(0, 2**62, n).astype("uint64"), r.integers(20, 60, n)]
+        order = np.argsort(c[0], kind="stable")
+        c = [x[order] for x in c]
+        c[3][c[4] <= history.LONG] = 0
+        return c
+
+    def fits(x, y):
+        most = (x[4] + y[4]) / 4 + 1e-9
+        bits = (x[2] ^ y[2]).bit_count() if min(x[4], y[4]) <= history.LONG else max((x[2] ^ y[2]).bit_count(), (x[2] ^ x[3] ^ y[2] ^ y[3]).bit_count() + (x[3] ^ y[3]).bit_count())
+        return x[0] == y[0] and bits <= most and min(x[4], y[4]) >= 0.6 * max(x[4], y[4])
+
+    new, old = blocks(200, 1000), blocks(300, 0)
+    again = history._joined([b for _, b in history._split(new, 8)][::-1])
+    assert all((sorted(a.tolist()) == sorted(b.tolist())) for a, b in zip(again, new)) and [*map(tuple, zip(*(c.tolist() for c in again)))] == [*map(tuple, zip(*(c.tolist() for c in new)))]
+    n, o = ([tuple(map(int, x)) for x in zip(*c)] for c in (new, old))
+    truth = {(x[1], y[1], True) for x in n for y in o if fits(x, y)} | {(x[1], y[1], False) for x in n for y in n if x[1] > y[1] and fits(x, y)}
+    got = [(int(a), int(b), bool(h)) for m in history.meetings(new, old) for a, b, h, _ in zip(*m)]
+    assert len(got) == len(set(got)) and set(got) == truth and truth
